@@ -1,7 +1,8 @@
 """Exact duplicates: equal content digests.
 
 Sightings are rows (id, file_hash, file_name, file_path, file_size, downloaded_by, download_time). Arrival
-order is (download_time, id). A digest that a large share of the rows carries is reduced by partial
+order is (download_time, id). The few columns needed are staged first, so that contents are read and hashed
+once. A digest that a large share of the rows carries is reduced by partial
 aggregates before any shuffle, and looked up by ``lookup_join``.
 """
 
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.matching import contains_like
-from twinfold.operators.skew import lookup_join
+from twinfold.operators.skew import largest_of, lookup_join
+from twinfold.session import stage
 
 _FILE = ["id", "file_name", "file_path", "downloaded_by", "download_time"]
 
@@ -37,15 +39,17 @@ def originals(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
 
 
 def with_original(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """``new`` with ``original`` and ``accepted``: true for the one row that enters the registry."""
-    found = lookup_join(new, originals(new, registry), "file_hash", "sightings", "id")
+    """The rows of ``new`` with ``original`` and ``accepted``: true for the one row that enters the registry."""
+    new = stage(new.select("file_hash", *_FILE), "sightings")
+    table = stage(originals(new, registry), "originals")
+    found = lookup_join(new, table, "file_hash", "sightings", "id", largest_of(table, "sightings"))
     first = (F.col("original.known") == 1) & (F.col("original.id") == F.col("id"))
-    return found.withColumn("accepted", first).drop("sightings")
+    return found.withColumn("accepted", first)
 
 
 def exact_dup_alerts(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """One alert row per new file whose content is known already, with the provenance of the original."""
-    seen = with_original(new.select("file_hash", *_FILE), registry).where("NOT accepted")
+    seen = with_original(new, registry).where("NOT accepted")
     return seen.select(
         F.col("id").alias("new_id"),
         F.col("downloaded_by").alias("alert_for"),
@@ -78,10 +82,12 @@ def _first_by_other(a: DataFrame, b: DataFrame) -> DataFrame:
         .groupBy("file_hash").agg(F.min("row").alias("other"))
     )
     copies = b.groupBy("file_hash").agg(F.count(F.lit(1)).alias("copies"))
-    table = first.join(other, "file_hash", "left").join(copies, "file_hash")
-    found = lookup_join(b.where("downloaded_by IS NOT NULL"), table, "file_hash", "copies", "id")
+    table = stage(first.join(other, "file_hash", "left").join(copies, "file_hash"), "partners")
+    found = lookup_join(
+        b.where("downloaded_by IS NOT NULL"), table, "file_hash", "copies", "id", largest_of(table, "copies")
+    )
     partner = F.when(F.col("first.user") != F.col("downloaded_by"), F.col("first")).otherwise(F.col("other"))
-    return found.withColumn("partner", partner).where("partner.id < id").drop("first", "other", "copies")
+    return found.withColumn("partner", partner).where("partner.id < id").drop("first", "other")
 
 
 def _pair_columns(found: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def cross_user_pairs(sightings: DataFrame, user1: str = "", user2: str = "") ->
     which ``cross_user_totals`` counts instead. With ``user1`` one of the two must match it; with both names
     one must match the first and the other the second. Newest original first.
     """
-    rows = sightings.select("file_hash", "id", "file_name", "downloaded_by", "download_time")
+    rows = stage(sightings.select("file_hash", "id", "file_name", "downloaded_by", "download_time"), "sightings")
     if user1 and user2:
         is_1, is_2 = (contains_like(F.col("downloaded_by"), u) for u in (user1, user2))
         both = _first_by_other(rows.where(is_1), rows.where(is_2)).union(_first_by_other(rows.where(is_2), rows.where(is_1)))

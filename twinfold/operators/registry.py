@@ -41,9 +41,7 @@ def first_sightings(observations: DataFrame) -> DataFrame:
 
 def insert_new(new: DataFrame, registry: DataFrame) -> DataFrame:
     """``new`` with ``accepted``: true for the first sighting of a digest the registry does not hold."""
-    keys = new.select("file_hash", "id", "file_name", "file_path", "downloaded_by", "download_time")
-    verdict = with_original(keys, registry).select("id", "accepted")
-    return new.join(verdict, "id")
+    return new.join(with_original(new, registry).select("id", "accepted"), "id")
 
 
 def corpus_scan(registry: DataFrame) -> DataFrame:

@@ -15,13 +15,19 @@ HOT_KEYS = 1000
 BLOCK_ROWS = 20_000
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, largest: int | None = None
+) -> DataFrame:
     """Inner join of many ``rows`` with a ``table`` that has one row per ``key``.
 
     ``weight`` is a column of ``table``: how many of ``rows`` carry the key. Hot keys are looked up in a
     broadcast of at most ``HOT_KEYS`` rows; all others meet by shuffle. Rows already served are sent
     through that shuffle under a salt made from ``spread``, so that they land evenly.
+
+    ``largest`` is the largest weight, where the caller knows it; a plain join does if that is small.
     """
+    if largest is not None and largest <= BLOCK_ROWS:
+        return rows.join(table.drop(weight), key)
     payload = [c for c in table.columns if c != key]
     total = table.agg(F.sum(weight)).scalar()
     marked = table.withColumn("_hot", F.col(weight) * HOT_KEYS >= total)
@@ -34,7 +40,13 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread
     joined = served.join(
         cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
     ).withColumn("_row", F.coalesce("_hot_row", "_cold_row"))
-    return joined.where(F.col("_row").isNotNull()).select(*rows.columns, *[F.col(f"_row.{c}") for c in payload])
+    kept = [F.col(f"_row.{c}") for c in payload if c != weight]
+    return joined.where(F.col("_row").isNotNull()).select(*rows.columns, *kept)
+
+
+def largest_of(table: DataFrame, weight: str) -> int:
+    """The largest weight of a staged table; one number."""
+    return table.agg(F.max(weight)).first()[0] or 0
 
 
 def _blocks(rows: DataFrame, keys: Sequence[str], name: str, block_rows: int) -> DataFrame:
@@ -53,14 +65,17 @@ def block_join(
     right_id: str,
     condition: Column,
     block_rows: int = BLOCK_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Equi-join on ``keys`` in which no task meets more than about ``block_rows`` rows of a key per side.
 
     A key with more rows is cut into blocks on each side and every left block is sent to every right
     block, so each pair of rows still meets exactly once. Columns of the two sides must differ but for
-    ``keys``.
+    ``keys``. ``largest`` is an upper bound of the rows per key and side, where the caller knows one.
     """
     keys = list(keys)
+    if largest is not None and largest <= block_rows:
+        return left.join(right, keys).where(condition)
     hot = _blocks(left, keys, "_bl", block_rows).join(_blocks(right, keys, "_br", block_rows), keys, "full")
     own = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.coalesce(F.col(n), F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))

@@ -60,7 +60,7 @@ def size_bytes(text: Column) -> Column:
     unit = _group(low, SIZE_PATTERN, 2)
     factor = reduce(lambda c, u: c.when(unit == u, SIZE_UNITS[u]), SIZE_UNITS, F.when(F.lit(False), 0))
     number = _group(low, SIZE_PATTERN, 1).try_cast("double")
-    return F.least(number * factor, F.lit(_LARGEST)).cast("bigint")
+    return F.when(number.isNotNull(), F.least(number * factor, F.lit(_LARGEST)).cast("bigint"))
 
 
 def file_type(text: Column) -> Column:

@@ -124,8 +124,8 @@ def queries() -> dict[str, Query]:
     return {
         # sources and registry
         "corpus_scan": lambda s, d: v.corpus(s, d).select("id", F.sha2("extracted_text", 256).alias("text_digest")),
-        "extract_text": _registry(
-            lambda r: r.select("id", F.length("extracted_text").cast("bigint").alias("chars"), F.md5("extracted_text").alias("digest"))
+        "extract_text": lambda s, d: v.build_registry(s, d).select(
+            "id", F.length("extracted_text").cast("bigint").alias("chars"), F.md5("extracted_text").alias("digest")
         ),
         "registry_insert": _registry_insert,
         "alert_status_current": _alerts(lambda a: a.select("id", "status")),

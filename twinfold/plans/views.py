@@ -14,6 +14,7 @@ from twinfold.functions.hashing import base_name, content_sha256, extension, siz
 from twinfold.operators.alerts import current_status
 from twinfold.operators.media import video_fingerprints as _fingerprints
 from twinfold.operators.registry import corpus_scan, describe_text, first_sightings
+from twinfold.session import stage
 from twinfold.sources.tables import read_table
 
 FILE_TYPES = ["txt", "pdf", "docx", "csv", "md", "html", "mp4", "jpg"]
@@ -58,11 +59,22 @@ def arrivals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return obs.where(F.col("download_time") >= cut), obs.where(F.col("download_time") < cut)
 
 
-def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry: the first observation of each digest, with its extracted text."""
+_registries: dict[tuple[str, str], DataFrame] = {}
+
+
+def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Take in all observations: the first one of each digest, with its extracted text."""
     return describe_text(first_sightings(observations(spark, sf_dir)))
 
 
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as a stored table, which is what it is to all queries; taken in once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _registries:
+        _registries[key] = stage(build_registry(spark, sf_dir), "registry")
+    return _registries[key]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_scan(downloads(spark, sf_dir))
 
