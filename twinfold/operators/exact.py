@@ -75,14 +75,15 @@ def _first_by_other(a: DataFrame, b: DataFrame) -> DataFrame:
     Two rows per digest decide it: the first of all, and the first by anyone but that one's user.
     """
     row = F.struct("id", F.col("downloaded_by").alias("user"), "file_name", "download_time")
-    per_user = a.where("downloaded_by IS NOT NULL").groupBy("file_hash", "downloaded_by").agg(F.min(row).alias("row"))
-    first = per_user.groupBy("file_hash").agg(F.min("row").alias("first"))
-    other = (
-        per_user.join(first, "file_hash").where(F.col("row.user") != F.col("first.user"))
-        .groupBy("file_hash").agg(F.min("row").alias("other"))
+    known = a.where("downloaded_by IS NOT NULL")
+    per_user = stage(known.groupBy("file_hash", "downloaded_by").agg(F.min(row).alias("row")), "holders")
+    first = stage(per_user.groupBy("file_hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("users")), "first")
+    several = lookup_join(
+        per_user, first.where("users > 1"), "file_hash", "users", "downloaded_by", largest_of(first, "users")
     )
+    other = several.where(F.col("row.user") != F.col("first.user")).groupBy("file_hash").agg(F.min("row").alias("other"))
     copies = b.groupBy("file_hash").agg(F.count(F.lit(1)).alias("copies"))
-    table = stage(first.join(other, "file_hash", "left").join(copies, "file_hash"), "partners")
+    table = stage(first.drop("users").join(other, "file_hash", "left").join(copies, "file_hash"), "partners")
     found = lookup_join(
         b.where("downloaded_by IS NOT NULL"), table, "file_hash", "copies", "id", largest_of(table, "copies")
     )

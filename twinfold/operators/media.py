@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from twinfold.fixed_values import IMAGE_HASH_THRESHOLD, SAMPLED_FRAMES
 from twinfold.functions.bits import field, hamming
-from twinfold.operators.skew import BLOCK_ROWS, block_join, lookup_join
+from twinfold.operators.skew import BLOCK_ROWS, block_join, largest_of
 from twinfold.session import stage
 
 _FIELDS, _WIDTH = 4, 16
@@ -28,7 +28,7 @@ def field_radii(threshold: int) -> list[int]:
 
 
 def _neighbour_masks(radius: int) -> list[int]:
-    """All 16-bit masks of at most ``radius`` bits."""
+    """All 16-bit masks of at most ``radius`` bits; none for a field left out."""
     return [sum(1 << b for b in bits) for n in range(min(radius, _WIDTH) + 1) for bits in combinations(range(_WIDTH), n)]
 
 
@@ -51,7 +51,7 @@ def _neighbours(bits: Column, radii: list[int]) -> Column:
 def code_pairs(codes: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(bits_a, bits_b, distance): all two different codes within ``threshold``, each pair once.
 
-    ``codes`` has distinct ``bits``. A pair that meets in several fields is kept in the first of them only,
+    ``codes`` has distinct ``bits`` and is read several times, so it should be staged. A pair that meets in several fields is kept in the first of them only,
     which the two codes alone decide, so nothing has to be de-duplicated by a shuffle.
     """
     radii = field_radii(threshold)
@@ -64,7 +64,10 @@ def code_pairs(codes: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_ro
         near = F.bit_count(field(xor, i * _WIDTH, _WIDTH)) <= radius
         met_before = met_before | ((F.col("field") > i) & near)
     wanted = (F.col("bits_a") < F.col("bits_b")) & (F.bit_count(xor) <= threshold) & ~met_before
-    met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows)
+    # a value's neighbours hold at most this many times the codes of the fullest value
+    held = largest_of(b.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "n")
+    largest = held * max(len(_neighbour_masks(radius)) for radius in radii)
+    met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows, largest)
     return met.select("bits_a", "bits_b", hamming(F.col("bits_a"), F.col("bits_b")).alias("distance"))
 
 
@@ -76,7 +79,7 @@ def fingerprint_groups(images: DataFrame) -> DataFrame:
 def hamming_pairs(images: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id_a, id_b, distance, copies_a, copies_b): similar fingerprints, each group of equal ones named by
     its lowest id."""
-    groups = fingerprint_groups(images)
+    groups = stage(fingerprint_groups(images), "fingerprint-groups")
     pairs = code_pairs(groups.select("bits"), threshold, block_rows)
     for s in ("a", "b"):
         named = groups.select(F.col("bits").alias(f"bits_{s}"), F.col("id").alias(f"id_{s}"), F.col("copies").alias(f"copies_{s}"))
@@ -139,15 +142,20 @@ def video_pairs(
         names = {"video": f"video_{s}", "copies": f"copies_{s}", "fingerprint": f"fp_{s}", "bits": f"bits_{s}"}
         return places.select("pos", *[F.col(c).alias(n) for c, n in names.items()])
 
-    codes = stage(places.select("bits").distinct(), "video-codes")
-    pairs = code_pairs(codes, threshold, block_rows).select("bits_a", "bits_b")
+    codes = stage(places.groupBy("bits").agg(F.count(F.lit(1)).alias("held")), "video-codes")
+    pairs = code_pairs(codes.select("bits"), threshold, block_rows).select("bits_a", "bits_b")
     near = pairs.union(pairs.select("bits_b", "bits_a")).union(codes.select("bits", "bits")).toDF("bits_a", "bits_b")
-    probes = block_join(side("a"), near, ["bits_a"], "video_a", "bits_b", F.lit(True), block_rows)
+    near = stage(near, "near-codes")
+    held = largest_of(codes, "held")
+    around = largest_of(near.groupBy("bits_a").agg(F.count(F.lit(1)).alias("n")), "n")
+    probes = block_join(
+        side("a"), near, ["bits_a"], "video_a", "bits_b", F.lit(True), block_rows, max(held, around)
+    )
     distances = _frame_distances(F.col("fp_a"), F.col("fp_b"))
     mean = F.aggregate(distances, F.lit(0).cast("bigint"), lambda acc, x: acc + x) / F.size(distances)
     first_near = F.array_position(F.transform(distances, lambda x: x <= threshold), True) - 1
     wanted = (F.col("video_a") < F.col("video_b")) & (first_near == F.col("pos")) & (mean <= threshold)
-    met = block_join(probes, side("b"), ["pos", "bits_b"], "video_a", "video_b", wanted, block_rows)
+    met = block_join(probes, side("b"), ["pos", "bits_b"], "video_a", "video_b", wanted, block_rows, held * around)
     return met.select(
         "video_a", "video_b", F.size(distances).cast("bigint").alias("frames"),
         F.round(mean, 6).alias("mean_distance"), "copies_a", "copies_b",

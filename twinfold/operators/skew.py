@@ -27,7 +27,7 @@ def lookup_join(
     ``largest`` is the largest weight, where the caller knows it; a plain join does if that is small.
     """
     if largest is not None and largest <= BLOCK_ROWS:
-        return rows.join(table.drop(weight), key)
+        return rows.join(table.drop(weight), key).select(*rows.columns, *[c for c in table.columns if c not in (key, weight)])
     payload = [c for c in table.columns if c != key]
     total = table.agg(F.sum(weight)).scalar()
     marked = table.withColumn("_hot", F.col(weight) * HOT_KEYS >= total)

@@ -31,8 +31,9 @@ MIN_SIZE, MAX_SIZE = 2_000, 6_000
 ALERT_USER, LAST_SEEN = "user8", 500
 
 
-def _obs(columns: dict) -> Query:
-    return lambda s, d: v.observations(s, d).select("id", *[c.alias(n) for n, c in columns.items()])
+def _obs(columns: Callable[[], dict]) -> Query:
+    """``columns`` makes the expressions when the query runs: that takes a session."""
+    return lambda s, d: v.observations(s, d).select("id", *[c.alias(n) for n, c in columns().items()])
 
 
 def _registry(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -130,11 +131,11 @@ def queries() -> dict[str, Query]:
         "registry_insert": _registry_insert,
         "alert_status_current": _alerts(lambda a: a.select("id", "status")),
         # scalars
-        "hash_sha256": _obs({"sha256": h.content_sha256(F.col("content"))}),
-        "hash_md5": _obs({"md5": h.content_md5(F.col("content"))}),
-        "file_extension": _obs({"file_name": F.col("file_name"), "extension": h.extension(F.col("file_path"))}),
-        "file_size": _obs({"size": h.size_bytes(F.col("content"))}),
-        "media_class": _obs({"media": h.media_class(F.col("file_type")), "is_text": h.is_text(F.col("file_type"))}),
+        "hash_sha256": _obs(lambda: {"sha256": h.content_sha256(F.col("content"))}),
+        "hash_md5": _obs(lambda: {"md5": h.content_md5(F.col("content"))}),
+        "file_extension": _obs(lambda: {"file_name": F.col("file_name"), "extension": h.extension(F.col("file_path"))}),
+        "file_size": _obs(lambda: {"size": h.size_bytes(F.col("content"))}),
+        "media_class": _obs(lambda: {"media": h.media_class(F.col("file_type")), "is_text": h.is_text(F.col("file_type"))}),
         # exact duplicates
         "find_by_hash": _find_by_hash,
         "exact_dup_alerts": _sightings(ex.exact_dup_alerts),
@@ -146,7 +147,7 @@ def queries() -> dict[str, Query]:
         "duplicate_groups": _sightings(ex.duplicate_groups),
         "duplicate_report": _sightings(ex.duplicate_report),
         # text
-        "text_clean": _obs({"clean_digest": F.md5(tx.clean(F.col("content")))}),
+        "text_clean": _obs(lambda: {"clean_digest": F.md5(tx.clean(F.col("content")))}),
         "token_counts": _token_counts,
         "stopword_filter": _stopword_filter,
         "term_frequency": lambda s, d: ts.term_frequency(v.corpus(s, d)),
