@@ -47,9 +47,24 @@ def test_pairs_equal_all_pairs(spark, seed, threshold, block):
     assert len(found) == len(want)
 
 
-def test_radii_cover_the_threshold():
+@pytest.mark.parametrize("fields", [2, 3, 4, 6, 11])
+def test_any_cut_gives_the_same_pairs(spark, fields):
+    threshold = 5 if fields == 2 else 10
+    codes = sorted({_signed(c) for c in _planted(7, 12)})
+    want = {(a, b) for a in codes for b in codes if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= threshold}
+    df = spark.createDataFrame([(c,) for c in codes], "bits long")
+    found = md.code_pairs(df, threshold, fields=fields).collect()
+    assert {(r.bits_a, r.bits_b) for r in found} == want and len(found) == len(want)
+
+
+def test_cuts_cover_the_bits_and_the_threshold():
     for threshold in range(30):
-        assert sum(r + 1 for r in md.field_radii(threshold)) == threshold + 1
+        for fields in range(1, threshold + 2):
+            parts = md.cut(threshold, fields)
+            assert sum(p.width for p in parts) == 64
+            assert sum(p.radius + 1 for p in parts) == threshold + 1
+    sizes = [len(md.best_cut(10, n)) for n in (10**3, 10**5, 10**7, 10**10)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1]
 
 
 def test_hex_and_back(spark):

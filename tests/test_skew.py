@@ -47,3 +47,12 @@ def test_no_group_of_a_block_join_is_large(spark):
     assert hot.where("key = 'hot'").first()["n"] == 15
     sizes = a.join(hot, "key").groupBy("key", F.pmod(F.xxhash64("id"), F.col("n"))).count()
     assert sizes.agg(F.max("count")).first()[0] < 3 * block
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from twinfold.operators.numbering import numbered
+
+    rows = spark.range(0, 500, numPartitions=7).select("id", F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
+    found = numbered(rows, "v", "id", name="n", start=11).orderBy("n").collect()
+    assert [r.n for r in found] == list(range(11, 511))
+    assert [(r.v, r.id) for r in found] == sorted((r.v, r.id) for r in found)

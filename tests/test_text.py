@@ -105,6 +105,9 @@ def test_best_match_equals_a_refit_per_file(spark, seed, block):
     ).collect()
     assert {r.id: (r.match_id, round(r.score, 6)) for r in found} == want
     assert want
+    old = ts.postings(ts.word_bags(_frame(spark, texts[:50], list(stored)), ENGLISH_STOP_WORDS))
+    few = ts.best_match_postings(_frame(spark, texts[50:], list(new)), old, F.lit(50), few_new=True).collect()
+    assert {r.id: (r.match_id, round(r.score, 6)) for r in few} == want
 
 
 def test_empty_corpus_and_empty_vocabulary(spark):

@@ -31,4 +31,5 @@ def from_hex(digits: Column) -> Column:
 
 def field(bits: Column, offset: int, width: int) -> Column:
     """``width`` bits from ``offset``, counted from the lowest."""
-    return F.shiftrightunsigned(bits, offset).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    shifted = F.shiftrightunsigned(bits, offset) if offset else bits
+    return shifted if width == 64 else shifted.bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))

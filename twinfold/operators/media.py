@@ -1,14 +1,17 @@
 """Near-duplicate images and videos by the Hamming distance of 64-bit fingerprints.
 
 Equal fingerprints are one row before any join, so a flood of copies costs nothing further. Candidates
-come from an exact multi-index join: the 64 bits are cut into four fields of 16, and if two fingerprints
-differ in at most tau bits, some field i differs in at most r_i bits as soon as the r_i + 1 add up to more
-than tau. One side lists its fields' neighbours within r_i, the other its plain fields, and equal values meet.
+come from an exact multi-index join: the 64 bits are cut into fields, and if two fingerprints differ in at most
+tau bits, some field i differs in at most r_i bits as soon as the r_i + 1 add up to more than tau. One side
+lists its fields' neighbours within r_i, the other its plain fields, and equal values meet. Few wide fields
+list more neighbours and meet fewer strangers, so the number of fields depends on the number of codes.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,55 +21,85 @@ from twinfold.functions.bits import field, hamming
 from twinfold.operators.skew import BLOCK_ROWS, block_join, largest_of
 from twinfold.session import stage
 
-_FIELDS, _WIDTH = 4, 16
+_BITS = 64
+_MAX_MASKS = 300_000
 
 
-def field_radii(threshold: int) -> list[int]:
-    """Radius per field; the radii plus one add up to threshold + 1, and -1 leaves a field out."""
-    share, extra = divmod(threshold + 1, _FIELDS)
-    return [share - 1 + (i < extra) for i in range(_FIELDS)]
+class Field(NamedTuple):
+    offset: int
+    width: int
+    radius: int
 
+    def mask_count(self) -> int:
+        return sum(comb(self.width, n) for n in range(self.radius + 1))
 
-def _neighbour_masks(radius: int) -> list[int]:
-    """All 16-bit masks of at most ``radius`` bits; none for a field left out."""
-    return [sum(1 << b for b in bits) for n in range(min(radius, _WIDTH) + 1) for bits in combinations(range(_WIDTH), n)]
+    def masks(self) -> list[int]:
+        """All values of at most ``radius`` bits."""
+        return [
+            sum(1 << b for b in bits) for n in range(self.radius + 1) for bits in combinations(range(self.width), n)
+        ]
 
+    def of(self, bits: Column) -> Column:
+        return field(bits, self.offset, self.width)
 
-def _fields(bits: Column, radii: list[int]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).alias("field"), field(bits, i * _WIDTH, _WIDTH).cast("int").alias("value"))
-        for i, radius in enumerate(radii) if radius >= 0
-    ])
 
+def cut(threshold: int, fields: int) -> list[Field]:
+    """64 bits in ``fields`` parts of about the same width and radius; the radii plus one add up to threshold + 1."""
+    width, wider = divmod(_BITS, fields)
+    share, more = divmod(threshold + 1, fields)
+    parts, offset = [], 0
+    for i in range(fields):
+        w = width + (i < wider)
+        parts.append(Field(offset, w, min(share - 1 + (i < more), w)))
+        offset += w
+    return [p for p in parts if p.radius >= 0]
 
-def _neighbours(bits: Column, radii: list[int]) -> Column:
-    def around(i: int, radius: int) -> Column:
-        value = field(bits, i * _WIDTH, _WIDTH).cast("int")
-        masks = F.lit(_neighbour_masks(radius)).cast("array<int>")
+
+def best_cut(threshold: int, n_codes: int) -> list[Field]:
+    """The cut with the least work: neighbours listed, plus pairs met if codes were spread evenly."""
+
+    def work(parts: list[Field]) -> float:
+        listed = sum(p.mask_count() for p in parts)
+        met = sum(p.mask_count() / 2**p.width for p in parts) * n_codes
+        return (listed + met) if max(p.mask_count() for p in parts) <= _MAX_MASKS else float("inf")
+
+    return min((cut(threshold, m) for m in range(1, min(threshold + 1, _BITS) + 1)), key=work)
+
+
+def _plain(bits: Column, parts: list[Field]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("field"), p.of(bits).alias("value")) for i, p in enumerate(parts)])
+
+
+def _neighbours(bits: Column, parts: list[Field]) -> Column:
+    def around(i: int, part: Field) -> Column:
+        value = part.of(bits)
+        masks = F.lit(part.masks()).cast("array<bigint>")
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("field"), value.bitwiseXOR(m).alias("value")))
 
-    return F.concat(*[around(i, radius) for i, radius in enumerate(radii) if radius >= 0])
+    return F.concat(*[around(i, p) for i, p in enumerate(parts)])
 
 
-def code_pairs(codes: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def code_pairs(
+    codes: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS, fields: int | None = None
+) -> DataFrame:
     """(bits_a, bits_b, distance): all two different codes within ``threshold``, each pair once.
 
-    ``codes`` has distinct ``bits`` and is read several times, so it should be staged. A pair that meets in several fields is kept in the first of them only,
-    which the two codes alone decide, so nothing has to be de-duplicated by a shuffle.
+    ``codes`` has distinct ``bits`` and is read several times, so it should be staged. A pair that meets in
+    several fields is kept in the first of them only, which the two codes alone decide, so nothing has to be
+    de-duplicated by a shuffle.
     """
-    radii = field_radii(threshold)
-    a = codes.select(F.col("bits").alias("bits_a"), F.explode(_neighbours(F.col("bits"), radii)).alias("x"))
-    b = codes.select(F.col("bits").alias("bits_b"), F.explode(_fields(F.col("bits"), radii)).alias("x"))
-    a, b = (df.select(c, "x.field", "x.value") for df, c in ((a, "bits_a"), (b, "bits_b")))
+    parts = cut(threshold, fields) if fields else best_cut(threshold, codes.count())
+    a = codes.select(F.col("bits").alias("bits_a"), F.inline(_neighbours(F.col("bits"), parts)))
+    b = codes.select(F.col("bits").alias("bits_b"), F.inline(_plain(F.col("bits"), parts)))
     xor = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
     met_before = F.lit(False)
-    for i, radius in enumerate(radii):
-        near = F.bit_count(field(xor, i * _WIDTH, _WIDTH)) <= radius
+    for i, part in enumerate(parts):
+        near = F.bit_count(part.of(xor)) <= part.radius
         met_before = met_before | ((F.col("field") > i) & near)
     wanted = (F.col("bits_a") < F.col("bits_b")) & (F.bit_count(xor) <= threshold) & ~met_before
     # a value's neighbours hold at most this many times the codes of the fullest value
     held = largest_of(b.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "n")
-    largest = held * max(len(_neighbour_masks(radius)) for radius in radii)
+    largest = held * max(p.mask_count() for p in parts)
     met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows, largest)
     return met.select("bits_a", "bits_b", hamming(F.col("bits_a"), F.col("bits_b")).alias("distance"))
 
