@@ -49,7 +49,12 @@ def with_original(new: DataFrame, registry: DataFrame | None = None) -> DataFram
 
 def exact_dup_alerts(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """One alert row per new file whose content is known already, with the provenance of the original."""
-    seen = with_original(new, registry).where("NOT accepted")
+    return exact_alerts(with_original(new, registry))
+
+
+def exact_alerts(verdicts: DataFrame) -> DataFrame:
+    """Alert rows from the result of ``with_original``."""
+    seen = verdicts.where("NOT accepted")
     return seen.select(
         F.col("id").alias("new_id"),
         F.col("downloaded_by").alias("alert_for"),

@@ -16,6 +16,7 @@ from twinfold.operators import media as md
 from twinfold.operators import registry as rg
 from twinfold.operators import text_similarity as ts
 from twinfold.operators import utterances as ut
+from twinfold.plans import streams as st
 from twinfold.plans import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,4 +195,9 @@ def queries() -> dict[str, Query]:
         "utterance_two_users": _log(lambda u: ut.utterance_parameters(u).select("id", "user1", "user2")),
         "utterance_keyword": _parameter("keyword"),
         "utterance_routed": _log(ut.utterance_routed),
+        # streams
+        "monitor_alerts": st.monitor_alerts,
+        "monitor_registry": st.monitor_registry,
+        "alert_feed": lambda s, d: st.alert_feed_delivered(s, d, ALERT_USER),
+        "stats_feed": st.stats_delivered,
     }

@@ -445,4 +445,18 @@ SELECT x.video""", 1),
         "utterance_two_users": _sql(f"SELECT id, {_pair_user(1)} AS user1, {_pair_user(2)} AS user2 FROM asked", "asked"),
         "utterance_keyword": _asked(_keyword(), "keyword"),
         "utterance_routed": _routed(),
+        "monitor_alerts": _sql(
+            f"""SELECT n.file_name AS new_file_name, n.downloaded_by AS alert_for, 'exact' AS duplicate_type, 1.0::DOUBLE AS similarity,
+                  o.file_name AS original_file, o.file_path AS original_path, o.downloaded_by AS original_user
+                FROM obs n JOIN ({_FIRST}) o USING (file_hash) WHERE o.id <> n.id
+                UNION ALL
+                SELECT file_name, downloaded_by, 'text_similar', round(score, 6), 'db_id:' || place, '', ''
+                FROM (SELECT * FROM cosine QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, a) = 1)
+                JOIN downloads d ON d.id = b
+                JOIN (SELECT id, row_number() OVER (ORDER BY download_time) AS place FROM obs) p ON p.id = a""", "cosine", "downloads"),
+        "monitor_registry": _downloads("file_name, file_hash, file_type, file_size, downloaded_by, md5(extracted_text) AS text_digest"),
+        "alert_feed": _sql(f"SELECT * FROM alerts WHERE alert_for = '{c.ALERT_USER}' AND status = 'pending'", "alerts"),
+        "stats_feed": _sql(
+            """SELECT (SELECT count(*) FROM downloads) AS total_files, count(*) AS total_alerts,
+                      count(*) FILTER (status = 'pending') AS pending FROM alerts""", "downloads", "alerts"),
     }

@@ -27,7 +27,11 @@ def _later(start, seconds):
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file observation per document, every 47 minutes, with its ``content``."""
-    d = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    return observed(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id"))
+
+
+def observed(d: DataFrame) -> DataFrame:
+    """Documents, in batch or as a stream, as file observations."""
     kind = F.get(F.array(*[F.lit(t) for t in FILE_TYPES]), F.pmod("doc_id", F.lit(len(FILE_TYPES))).cast("int"))
     shown = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.upper(kind)).otherwise(kind)
     path = F.concat(F.lit("/srv/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), shown)
@@ -64,7 +68,10 @@ _registries: dict[tuple[str, str], DataFrame] = {}
 
 def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Take in all observations: the first one of each digest, with its extracted text."""
-    return describe_text(first_sightings(observations(spark, sf_dir)))
+    described = describe_text(first_sightings(observations(spark, sf_dir)))
+    return described.withColumns({
+        "image_phash": F.lit(None).cast("bigint"), "video_fingerprint": F.lit(None).cast("array<bigint>")
+    })
 
 
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
