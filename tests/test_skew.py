@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinfold.operators import skew
@@ -31,7 +32,9 @@ def test_lookup_join_drops_what_the_table_lacks(spark):
     assert skew.lookup_join(rows, table, "key", "held", "id").where("key = 'k1'").count() == 0
 
 
-def test_block_join(spark):
+@pytest.mark.parametrize("hot_keys", [1, 4, 1000])
+def test_block_join(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
     a = _rows(spark).select("key", F.col("id").alias("a"))
     b = _rows(spark, 300, 5).select("key", F.col("id").alias("b"))
     want = sorted(map(tuple, a.join(b, "key").where("a < b").select("key", "a", "b").collect()))
@@ -43,7 +46,7 @@ def test_block_join(spark):
 
 def test_no_group_of_a_block_join_is_large(spark):
     a, block = _rows(spark, 900), 20
-    hot = skew._blocks(a, ["key"], "n", block)
+    hot = skew._large_keys(a, ["key"], "l", block).select("key", F.col("_bl").alias("n"))
     assert hot.where("key = 'hot'").first()["n"] == 15
     sizes = a.join(hot, "key").groupBy("key", F.pmod(F.xxhash64("id"), F.col("n"))).count()
     assert sizes.agg(F.max("count")).first()[0] < 3 * block

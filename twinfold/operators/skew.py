@@ -15,33 +15,39 @@ HOT_KEYS = 1000
 BLOCK_ROWS = 20_000
 
 
-def lookup_join(
-    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, largest: int | None = None
-) -> DataFrame:
-    """Inner join of many ``rows`` with a ``table`` that has one row per ``key``.
-
-    ``weight`` is a column of ``table``: how many of ``rows`` carry the key. Hot keys are looked up in a
-    broadcast of at most ``HOT_KEYS`` rows; all others meet by shuffle. Rows already served are sent
-    through that shuffle under a salt made from ``spread``, so that they land evenly.
+def _attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: Column, spread: str) -> DataFrame:
+    """``rows`` with ``_row``: the struct of the ``table`` row of the same key, null where there is none.
 
-    ``largest`` is the largest weight, where the caller knows it; a plain join does if that is small.
+    Keys that hold at least 1/HOT_KEYS of ``total`` are looked up in a broadcast of at most HOT_KEYS rows, all
+    others meet by shuffle. Rows served by the broadcast go through that shuffle under a salt made from
+    ``spread``, so that they land evenly.
     """
-    if largest is not None and largest <= BLOCK_ROWS:
-        return rows.join(table.drop(weight), key).select(*rows.columns, *[c for c in table.columns if c not in (key, weight)])
-    payload = [c for c in table.columns if c != key]
-    total = table.agg(F.sum(weight)).scalar()
+    payload = F.struct(*[c for c in table.columns if c not in keys])
     marked = table.withColumn("_hot", F.col(weight) * HOT_KEYS >= total)
-    hot = marked.where("_hot").select(F.col(key).alias("_hot_key"), F.struct(*payload).alias("_hot_row"))
+    hot = marked.where("_hot").select(*[F.col(k).alias(f"_hot_{k}") for k in keys], payload.alias("_hot_row"))
     cold = marked.where("NOT _hot").select(
-        F.col(key).alias("_cold_key"), F.lit(0).alias("_cold_salt"), F.struct(*payload).alias("_cold_row")
+        *[F.col(k).alias(f"_cold_{k}") for k in keys], F.lit(0).alias("_cold_salt"), payload.alias("_cold_row")
     )
+    same = lambda side: [F.col(k) == F.col(f"_{side}_{k}") for k in keys]
     salt = F.when(F.col("_hot_row").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1)
-    served = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_salt", salt)
-    joined = served.join(
-        cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
-    ).withColumn("_row", F.coalesce("_hot_row", "_cold_row"))
-    kept = [F.col(f"_row.{c}") for c in payload if c != weight]
-    return joined.where(F.col("_row").isNotNull()).select(*rows.columns, *kept)
+    served = rows.join(F.broadcast(hot), same("hot"), "left").withColumn("_salt", salt)
+    met = served.join(cold, [*same("cold"), F.col("_salt") == F.col("_cold_salt")], "left")
+    return met.select(*rows.columns, F.coalesce("_hot_row", "_cold_row").alias("_row"))
+
+
+def lookup_join(
+    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, largest: int | None = None
+) -> DataFrame:
+    """Inner join of many ``rows`` with a ``table`` that has one row per ``key``, balanced whatever the keys hold.
+
+    ``weight`` is a column of ``table``: how many of ``rows`` carry the key. ``spread`` is a column of ``rows`` with
+    many values. ``largest`` is the largest weight, where the caller knows it; a plain join does if that is small.
+    """
+    kept = [c for c in table.columns if c not in (key, weight)]
+    if largest is not None and largest <= BLOCK_ROWS:
+        return rows.join(table.drop(weight), key).select(*rows.columns, *kept)
+    joined = _attach(rows, table, [key], weight, table.agg(F.sum(weight)).scalar(), spread)
+    return joined.where(F.col("_row").isNotNull()).select(*rows.columns, *[F.col(f"_row.{c}") for c in kept])
 
 
 def largest_of(table: DataFrame, weight: str) -> int:
@@ -49,11 +55,11 @@ def largest_of(table: DataFrame, weight: str) -> int:
     return table.agg(F.max(weight)).first()[0] or 0
 
 
-def _blocks(rows: DataFrame, keys: Sequence[str], name: str, block_rows: int) -> DataFrame:
+def _large_keys(rows: DataFrame, keys: Sequence[str], name: str, block_rows: int) -> DataFrame:
     return (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > block_rows)
-        .select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{name}"))
+        .where(F.col(f"_n{name}") > block_rows)
+        .withColumn(f"_b{name}", F.ceil(F.col(f"_n{name}") / block_rows).cast("int"))
     )
 
 
@@ -76,9 +82,15 @@ def block_join(
     keys = list(keys)
     if largest is not None and largest <= block_rows:
         return left.join(right, keys).where(condition)
-    hot = _blocks(left, keys, "_bl", block_rows).join(_blocks(right, keys, "_br", block_rows), keys, "full")
-    own = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.coalesce(F.col(n), F.lit(1))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
-    lhs = left.join(hot, keys, "left").select(*left.columns, own(left_id, "_bl").alias("_i"), every("_br").alias("_j"))
-    rhs = right.join(hot, keys, "left").select(*right.columns, every("_bl").alias("_i"), own(right_id, "_br").alias("_j"))
+    large = _large_keys(left, keys, "l", block_rows).join(_large_keys(right, keys, "r", block_rows), keys, "full")
+    large = large.select(*keys, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_nl", "_bl", "_nr", "_br")])
+
+    def side(rows: DataFrame, me: str, id_column: str, own: str, other: str) -> DataFrame:
+        theirs = "r" if me == "l" else "l"
+        found = _attach(rows, large, keys, f"_n{me}", rows.agg(F.count(F.lit(1))).scalar(), id_column)
+        blocks = lambda s: F.coalesce(F.col(f"_row._b{s}"), F.lit(1))
+        mine = F.pmod(F.xxhash64(id_column), blocks(me)).cast("int")
+        return found.select(*rows.columns, mine.alias(own), F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)).alias(other))
+
+    lhs, rhs = side(left, "l", left_id, "_i", "_j"), side(right, "r", right_id, "_j", "_i")
     return lhs.join(rhs, [*keys, "_i", "_j"]).where(condition).drop("_i", "_j")

@@ -32,6 +32,9 @@ def local_session(cpus: int = 8, app: str = "twinfold", memory: str = "8g", **ex
     return spark
 
 
+_local_roots: dict[str, str] = {}
+
+
 def stage_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -43,9 +46,10 @@ def stage_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="twinfold-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="twinfold-")
+    return _local_roots[app]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
