@@ -22,6 +22,7 @@ HEADLINE = [
     "list_all", "search_keyword", "search_type", "search_user", "search_dates", "search_size_min", "date_week", "preview_top20",
     "alert_status_current", "alerts_pending", "alerts_since", "stats", "alert_messages",
     "utterance_intents", "intent_counts", "utterance_routed",
+    "monitor_alerts", "alert_feed", "stats_feed",
 ]
 
 
