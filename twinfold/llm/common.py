@@ -65,3 +65,34 @@ def map_batches(
 def crc_remainder(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_class: int, max_chars: int) -> DataFrame:
+    """Labelled documents to learn from: doc_id, text, lang, label; at most 2 * rows_per_class rows and max_chars characters.
+
+    Rows are chosen by a hash of their id, in its order, from all over the table, for label 0 and 1 apart. A doc_id that is labelled
+    twice counts once, by its larger label. The bound on both sides makes the choice small enough to broadcast and to collect.
+    """
+    from pyspark.sql import Window as W
+
+    from twinfold.session import stage
+
+    spark = docs.sparkSession
+    order = F.xxhash64("doc_id", F.lit(label))
+    known = marks.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = None
+    for value, total in totals.items():
+        part = known.where(F.col("label") == value)
+        if total > rows_per_class:  # about twice as many as wanted, then the first of them
+            part = part.where(F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2.0 * rows_per_class / total)))
+        part = part.orderBy(order, "doc_id").limit(rows_per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    if picked is None:
+        picked = known.limit(0)
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), "doc_id")
+    met = stage(met, f"labelled-{label}")
+    room = W.orderBy(F.xxhash64("doc_id", "text"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sized = met.withColumn("_upto", F.sum(F.length("text")).over(room)).withColumn("_place", F.row_number().over(room))
+    return sized.where((F.col("_upto") <= max_chars) & (F.col("_place") <= 2 * rows_per_class)).select("doc_id", "text", "lang", "label")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from twinfold.llm import chat, decontaminate, mixing, quality_rules
+import re
+
+from twinfold.llm import chat, decontaminate, mixing, quality_rules, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,6 +92,36 @@ def _decontamination() -> str:
     FROM docs LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)"""
 
 
+def _either_case(regex: str) -> str:
+    """``(?i:...)`` written out as classes, as this engine's own folding goes beyond ASCII."""
+    return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", regex)
+
+
+def _secrets() -> str:
+    parts = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        regex = _either_case(rule.regex).replace("'", "''")
+        measured = f"regexp_extract(found, '{regex}', {rule.measured})"
+        parts.append(f"""
+      SELECT row, {rank} AS rank, '{rule.kind}' AS kind, start, start + length(found) AS stop FROM (
+        SELECT row, matches[i] AS found,
+               coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)
+               + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS start
+        FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i
+              FROM (SELECT row, regexp_extract_all(text, '{regex}') AS matches, string_split_regex(text, '{regex}') AS gaps FROM docs)))
+      WHERE length({measured}) >= {rule.least}""")
+    base = secret_scan.BASE
+    counts = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{secret_scan.RULES[i].kind}" for i in range(base))
+    shown = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_scan.RULES[:base])
+    listed = "string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)"
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    spans AS ({" UNION ALL ".join(parts)}),
+    joined AS (SELECT row, {counts}, {listed} FILTER (rank < {base}) AS base, {listed} AS spans FROM spans GROUP BY row)
+    SELECT doc_id, {shown}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs LEFT JOIN joined USING (row)"""
+
+
 def _quality_rules() -> str:
     none = lambda chars: f"length(regexp_replace(text, '{chars}', '', 'g'))"
     rules = " OR ".join([
@@ -130,5 +162,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_source_mixing": _mixing(),
         "op3_chat_formatting": _chat(),
         "op6_decontamination": _decontamination(),
+        "op8_secret_scan": _secrets(),
         "op10_quality_rules": _quality_rules(),
     }

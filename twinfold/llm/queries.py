@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import chat, decontaminate, mixing, quality_rules
-from twinfold.llm.common import documents
+from twinfold.llm import chat, decontaminate, mixing, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm.common import documents, labels
 from twinfold.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bt.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,14 +33,25 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_ranking": op1_quality_ranking,
         "op2_source_mixing": op2_source_mixing,
         "op3_chat_formatting": op3_chat_formatting,
         "op6_decontamination": op6_decontamination,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
