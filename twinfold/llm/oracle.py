@@ -68,6 +68,27 @@ def _chat() -> str:
     FROM whole"""
 
 
+def _near_dup(size: int = 3, percent: int = 85) -> str:
+    return rf"""
+    WITH RECURSIVE docs AS (
+      SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS words FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(len(words) - {size}, 0) + 1),
+                                                    lambda i: array_to_string(words[i + 1 : i + {size}], ' '))) AS shingle
+      FROM docs WHERE len(words) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+      SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (shingle)
+      WHERE x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
 def _decontamination() -> str:
     size = decontaminate.WINDOW
     words = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -161,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mixing": _mixing(),
         "op3_chat_formatting": _chat(),
+        "op4_minhash_near_dup": _near_dup(),
         "op6_decontamination": _decontamination(),
         "op8_secret_scan": _secrets(),
         "op10_quality_rules": _quality_rules(),

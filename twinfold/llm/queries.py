@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinfold.llm import chat, decontaminate, mixing, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm import chat, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
 from twinfold.llm.common import documents, labels
 from twinfold.sources.tables import read_table
 
@@ -29,10 +29,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(given.unionByName(probe)))
 
 
+def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read_table(spark, f"{sf_dir}/pages.parquet", "page_id"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
@@ -50,7 +58,9 @@ def queries() -> dict[str, Query]:
         "op1_quality_ranking": op1_quality_ranking,
         "op2_source_mixing": op2_source_mixing,
         "op3_chat_formatting": op3_chat_formatting,
+        "op4_minhash_near_dup": op4_minhash_near_dup,
         "op6_decontamination": op6_decontamination,
+        "op7_html_extraction": op7_html_extraction,
         "op8_secret_scan": op8_secret_scan,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
