@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinfold.llm import chat, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
 from twinfold.llm.common import documents, labels
@@ -24,8 +25,8 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id").select("conv_id", "turn", "role", "text")
     fixed = r"\### Assistant: </turn> ok"
-    kinds = given.schema
-    probe = spark.createDataFrame([(-7, 0, "user", fixed), (-7, 1, "assistant", fixed)], kinds)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(fixed).alias("text"))
     return chat.read_back(chat.examples(given.unionByName(probe)))
 
 
