@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import chat, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm import chat, chunk_dedup, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
 from twinfold.llm.common import documents, labels
 from twinfold.sources.tables import read_table
 
@@ -34,6 +34,10 @@ def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.passages(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_minhash_near_dup": op4_minhash_near_dup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_html_extraction": op7_html_extraction,
         "op8_secret_scan": op8_secret_scan,
