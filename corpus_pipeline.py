@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, mixing
-from twinfold.llm.common import documents
+from twinfold.llm import decontaminate, mixing, near_dup, secret_scan, toxicity
+from twinfold.llm.common import documents, labels
 from twinfold.session import stage
 
 #: Columns that stages work on; all others are handed through under neutral names, so that no name can clash.
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
+#: Words per shingle and similarity in percent of the near-duplicate stage.
+SHINGLE, SIMILARITY = 5, 80
+
 #: No SQL: the toxicity stage is a trained network. tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL: str | None = None
 
@@ -26,6 +29,24 @@ def _neutral(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     return docs.select(*[F.col(f"`{c}`").alias(extras.get(c, c)) for c in docs.columns]), docs.columns
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network rejects, at the threshold of their language, go."""
+    plain, names = _neutral(docs)
+    net = toxicity.train(plain, labels(spark, sf_dir))
+    return toxicity.scored(plain, net, tuple(plain.columns)).where("NOT rejected").select(*plain.columns).toDF(*names)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (5-word shingles, similarity of at least 0.8) the document with the smallest doc_id stays.
+
+    Rows that agree in doc_id and text are one document; documents without a doc_id stay.
+    """
+    plain, names = _neutral(docs)
+    gone = near_dup.near_duplicates(plain, SHINGLE, SIMILARITY).where("NOT kept").select("doc_id").where("doc_id IS NOT NULL")
+    known = plain.join(gone.distinct(), "doc_id", "left_anti").select(*plain.columns)
+    return known.dropDuplicates(["doc_id", "text"]).toDF(*names)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     plain, names = _neutral(docs)
@@ -33,6 +54,17 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(F.size("word_spans") == 0).select(*plain.columns).toDF(*names)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; n_chars follows the text."""
+    plain, names = _neutral(docs)
+    found = secret_scan.scan(plain, keep=tuple(plain.columns))
+    clean = found.withColumn("_clean", secret_scan.redacted(F.col("text"), F.col("spans")))
+    cut = F.size("spans") > 0
+    kind = plain.schema["n_chars"].dataType
+    changed = {"text": F.col("_clean"), "n_chars": F.when(cut, F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))}
+    return clean.select(*[changed.get(c, F.col(c)).alias(c) for c in plain.columns]).toDF(*names)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often (``copies``) and how many words that makes (``taken``).
 
@@ -56,7 +88,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", without_near_duplicates),
     ("decontamination", decontaminated),
+    ("secret_scan", without_secrets),
     ("mixing", mixed),
 ]
 
