@@ -1,0 +1,406 @@
+"""The operators against brute force in plain Python."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tests.llm.tables import DOCUMENTS, plain_text
+from twinfold.llm import chat, chunk_dedup, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm.components import connected
+from twinfold.llm.queries import queries
+
+ROLES = "conv_id bigint, turn bigint, role string, text string"
+
+
+def _documents(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCUMENTS).repartition(4)
+
+
+# chat
+
+
+def test_chat_round_trip(spark):
+    nasty = ["<|end|>", r"<\|turn|>", "a<", "|b", r"<\\|<|text|>", "", None, "<|turn|>user<|text|>x<|end|>", "é\n\n", r"\\<\|"]
+    rows = [(c, t, "assistant" if t % 2 else "user", nasty[(c + t) % len(nasty)]) for c in range(10) for t in range(c + 1)]
+    rows += [(50, 0, None, "x"), (50, None, "assis<|text|>tant", "y"), (51, 0, "assistant", "a"), (51, 0, "assistant", "a"), (None, 0, "user", "q")]
+    given = spark.createDataFrame(rows, ROLES).withColumn("formatted", F.lit("clash")).withColumn("turns", F.lit(1))
+    made = chat.examples(given)
+    got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in
+           made.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("whole")).select("conv_id", chat.parse(F.col("whole")).alias("turns")).collect()}
+    text = lambda x: "" if x is None else x
+    for conv in {r[0] for r in rows}:
+        mine = sorted(((r[1] is not None, r[1] or 0), text(r[2]), text(r[3])) for r in rows if r[0] == conv)
+        assert got[conv] == [(role, words) for _, role, words in mine]
+    losses = {(r["conv_id"], r["example"]): r["loss"] for r in made.where("trainable").select("conv_id", "example", chat.trainable_text().alias("loss")).collect()}
+    assert losses == {(c, i + 1): t for c, turns in got.items() for i, (role, t) in enumerate(turns) if role == "assistant"}
+    assert chat.read_back(chat.examples(spark.createDataFrame([], ROLES))).collect() == []
+
+
+# chunks
+
+
+def _slow_cuts(text: bytes) -> list[int]:
+    out, last, i = [], 0, 0
+
+    def whole(at):
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    for end in range(1, len(text) + 1):
+        value = 0
+        if end >= chunk_dedup.REACH:
+            for k in range(chunk_dedup.REACH):
+                value += int(chunk_dedup._GEAR[text[end - 1 - k]]) << k
+        wanted = end >= chunk_dedup.REACH and (value & 0xFFFFFFFF) >> (32 - chunk_dedup.CUT_BITS) == 0
+        if wanted:
+            while end - last > chunk_dedup.MAX_CHUNK:
+                last = whole(last + chunk_dedup.MAX_CHUNK - 3)
+                out.append(last)
+            if end - last >= chunk_dedup.MIN_CHUNK:
+                last = whole(end)
+                out.append(last)
+    while len(text) - last > chunk_dedup.MAX_CHUNK:
+        last = whole(last + chunk_dedup.MAX_CHUNK - 3)
+        out.append(last)
+    return out + [len(text)] if last < len(text) else out
+
+
+def test_cuts_follow_the_gear_hash(monkeypatch):
+    texts = [plain_text(1, 300), "äöü€𝄞 " * 80, "a" * 500, "", "short", plain_text(9, 2000)]
+    for text in texts:
+        assert chunk_dedup.cuts(text.encode()) == (_slow_cuts(text.encode()) if text else [])
+    monkeypatch.setattr(chunk_dedup, "PIECE", 100)
+    for text in texts:
+        assert chunk_dedup.cuts(text.encode()) == (_slow_cuts(text.encode()) if text else [])
+
+
+def test_chunks_resist_insertions():
+    text = plain_text(5, 500).encode()
+    moved = text[:700] + b"something new " + text[700:]
+    pieces = lambda t: {t[a:b] for a, b in zip([0, *chunk_dedup.cuts(t)], chunk_dedup.cuts(t))}
+    assert len(pieces(text) - pieces(moved)) <= 4
+
+
+def test_passages_by_brute_force(spark):
+    rng = np.random.default_rng(0)
+    shared = [plain_text(1000 + i, 52) for i in range(6)]
+    texts = [plain_text(i, 90) + " " + (shared[rng.integers(6)] if i % 3 else "") + " " + plain_text(500 + i, 40) for i in range(60)]
+    got = sorted(tuple(r) for r in chunk_dedup.passages(_documents(spark, texts)).collect())
+    first: dict[bytes, int] = {}
+    cut = [(t.encode(), chunk_dedup.cuts(t.encode())) for t in texts]
+    for i, (data, ends) in enumerate(cut):
+        for a, b in zip([0, *ends], ends):
+            first.setdefault(data[a:b], i)
+    expected = []
+    for i, (data, ends) in enumerate(cut):
+        runs, open_run = [], []
+        for a, b in [*zip([0, *ends], ends), (0, 0)]:
+            if b and first[data[a:b]] < i:
+                open_run.append((a, b))
+            elif open_run:
+                runs.append(open_run)
+                open_run = []
+        for run in runs:
+            start, end = run[0][0], run[-1][1]
+            words = sum(not data[k : k + 1].isspace() and (k == 0 or data[k - 1 : k].isspace()) for k in range(start, end))
+            if words >= chunk_dedup.MIN_WORDS:
+                expected.append((i, len(data[:start].decode()), len(data[:end].decode()), words, first[data[start : run[0][1]]]))
+    assert got == sorted(expected)
+    holders = {s: [i for i, t in enumerate(texts) if s in t] for s in shared}
+    assert {g[0] for g in got} == {i for ids in holders.values() for i in ids[1:]}
+
+
+def test_frequent_chunks_give_the_same(spark, monkeypatch):
+    texts = [plain_text(i, 40) + " " + plain_text(7777, 60) for i in range(40)]
+    docs = _documents(spark, texts)
+    one = sorted(tuple(r) for r in chunk_dedup.passages(docs).collect())
+    monkeypatch.setattr(chunk_dedup, "HOT", 1)
+    assert sorted(tuple(r) for r in chunk_dedup.passages(docs).collect()) == one != []
+
+
+# near duplicates
+
+
+def _variants(seed, count, words=80, change=6):
+    rng = np.random.default_rng(seed)
+    base = plain_text(seed, words).split()
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for at in rng.integers(0, words, rng.integers(0, change)):
+            copy[at] = f"n{rng.integers(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def _components(texts, size, percent):
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return [root(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 2048), (3, 85, 7), (5, 80, 2048)])
+def test_components_by_brute_force(spark, monkeypatch, size, percent, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    texts = [t for s in range(6) for t in _variants(s, 25)] + [plain_text(90 + i, 30) for i in range(20)] + ["a b", "a b", "A  B", None, "x"]
+    rows = near_dup.near_duplicates(_documents(spark, texts), size, percent).collect()
+    roots, sizes = _components(texts, size, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {
+        i: (sizes[i], roots[i], roots[i] == i) for i in range(len(texts))
+    }
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (5, 60, 900):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = np.concatenate([base[: n - n // 8], rng.integers(0, 1 << 63, n // 12 + 1, dtype=np.uint64)])
+        a, b = near_dup.sketch(base), near_dup.sketch(other)
+        width = min(len(a), len(b))
+        fold = lambda s: np.bitwise_xor.reduce(np.frombuffer(s, dtype=np.uint8).reshape(-1, width), axis=0)
+        assert np.bitwise_count(fold(a) ^ fold(b)).sum() <= len(np.setxor1d(base, other))
+
+
+def test_least_matches():
+    for percent in (80, 85, 95):
+        least = near_dup.least_matches(percent)
+        draws = np.random.default_rng(1).binomial(near_dup.COORDINATES, percent / 100, 200_000)
+        assert (draws >= least).all() and 1 <= least < near_dup.COORDINATES
+
+
+def test_connected(spark):
+    rng = np.random.default_rng(8)
+    links = [(i, i + 1) for i in range(40)] + [(100 + int(a), 100 + int(b)) for a, b in rng.integers(0, 60, (45, 2)) if a != b]
+    got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a bigint, b bigint").repartition(5)).collect()}
+    top = {x: x for e in links for x in e}
+    for _ in range(len(top)):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert got == top
+    assert connected(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+# decontamination
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark):
+    texts = [plain_text(i, 50) + " Plus, " + plain_text(400 + i % 3, 14).upper() + "! " + plain_text(i + 70, 20) for i in range(20)] + [None, ""]
+    docs = _documents(spark, texts)
+    items = spark.createDataFrame([(i, plain_text(400 + i, 14)) for i in range(3)] + [(9, "plus")], "item_id int, text string")
+    rows = [sorted(map(repr, decontaminate.find_hits(docs, items, ["doc_id"], block_windows=n).collect())) for n in (400_000, 5)]
+    assert rows[0] == rows[1]
+    one = decontaminate.find_hits(docs, items, ["doc_id", "text"]).where("doc_id = 4").first()
+    (start, end), = decontaminate.character_spans(one["text"], one["word_spans"])
+    assert one["text"][start:end] == "Plus, " + plain_text(401, 14).upper()
+
+
+# pages
+
+
+PAGE = (
+    '<html><head><title>no</title><script>if (a<b) "</p>"</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>'
+    '<div class="cookie-notice"><p>We use cookies on this site</p></div><article><h1>A  title</h1><p>First &amp; best&nbsp;x.<br>More\n text</p>'
+    '<div class="ad"><p>Buy this now, it is cheap and good and new</p></div><p>Second.</p><p>End</article>'
+    '<section id="comments"><p>I disagree with all that is said above here</p></section><footer>&copy; me</footer></body></html>'
+)
+CONTENT = "A title\n\nFirst & best\xa0x. More text\n\nSecond.\n\nEnd"
+
+
+def test_main_text(spark):
+    counts = html_main.count_kinds(PAGE)
+    assert html_main.main_text(PAGE, html_main.learnt(counts)) == CONTENT
+    pages = spark.createDataFrame(
+        [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE), (None, "w", "<p>a</p><!-- b"), (5, "x", "<p>" + "word " * 50_000)],
+        "page_id bigint, url string, html string",
+    ).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    rows = {(r["page_id"], r["url"]): r for r in html_main.extract(pages).collect()}
+    assert rows[1, "u"]["text"] == CONTENT and rows[1, "u"]["n_chars"] == len(CONTENT)
+    assert rows[2, None]["text"] == rows[3, "v"]["text"] == ""
+    assert rows[None, "w"]["text"] == "a" and rows[5, "x"]["n_chars"] == 5 * 50_000 - 1
+    assert html_main.extract(pages.limit(0)).collect() == []
+
+
+def test_best_region_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        scores = rng.integers(-5, 6, rng.integers(1, 12)).tolist()
+        start, end = html_main.best_region(scores)
+        best = max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+        assert sum(scores[start:end]) == best
+
+
+def test_given_pages(spark, sf_dir):
+    """Every given page marks its article, so the expected text can be read off."""
+    import html
+
+    given = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r["page_id"]: r["text"] for r in queries()["op7_html_extraction"](spark, sf_dir).collect()}
+    clean = lambda block: re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub("<[^>]*>", "", block.replace("<br>", " ")))).strip(" ")
+    for page, text in got.items():
+        article = re.search("<article>(.*)</article>", given[page], re.S)[1]
+        assert text == "\n\n".join(b for b in map(clean, re.split("</?(?:p|h1)>", article)) if b)
+
+
+# secrets
+
+
+def test_trigram_queries():
+    query = secret_scan.trigram_query
+    assert query("abcd") == [frozenset({"abc", "bcd"})]
+    assert query("AB[0-9]+CDE") == [frozenset({"cde"})]
+    assert query("(foo|ba)x") == [frozenset({"foo", "oox"}), frozenset({"bax"})]
+    assert query("[xy]ab") == [frozenset({"xab"}), frozenset({"yab"})]
+    assert query("[0-9a-f]+") is None and query("ab?cd") is None and query("(abc|x)") is None
+
+
+def test_candidates_hold_every_match(spark):
+    pool = ["password", "PASSWD", "secret", "Token", "api_key", "APIKEY", "AKIA" + "Z" * 16, "ghp_" + "a" * 36, "=", ": ", "'", '"', "abcdef1", "deadbeef" * 3, " "]
+    rng = np.random.default_rng(4)
+    texts = ["".join(pool[i] for i in rng.integers(0, len(pool), 12)) + "é" for _ in range(200)] + ["-----BEGIN RSA PRIVATE KEY-----", None]
+    got = {r["doc_id"]: [(s["start"], s["rank"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(_documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        spans = []
+        for rank, rule in enumerate(secret_scan.RULES):
+            regex = re.compile(rule.regex.replace("(?i:", "(?ai:") if "(?i:" in rule.regex else rule.regex)
+            spans += [(m.start(), rank, m.end()) for m in regex.finditer(text or "") if len(m.group(rule.measured)) >= rule.least]
+        assert got[i] == sorted(spans)
+
+
+def test_redaction(spark):
+    text = "é token=abcdef12 and password: AKIA" + "B" * 16 + " end"
+    row = secret_scan.scan(_documents(spark, [text, "clean", None]), keep=("text",)).select("doc_id", secret_scan.redacted(F.col("text"), F.col("spans")).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in row.collect()} == {0: "é [SECRET] and [SECRET] end", 1: "clean", 2: None}
+
+
+# rules
+
+
+def test_repeat_words_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d"], rng.integers(0, 40))) for _ in range(150)] + ["a a a a", "x\ny\nx\n\n \nx", "z " * 3000]
+    got = {r["doc_id"]: r for r in quality_rules.text_counts(_documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = text.split()
+        windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        inside = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert (got[i]["n_words"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(words), len(inside), len(lines) - len(set(lines)))
+
+
+def test_cascade_order_changes_nothing(spark):
+    texts = [plain_text(i, 70) for i in range(10)] + ["SHOUT " * 80, "ab ## $$ %% " * 40, "1 2 3 4 " * 50, "line one\n" * 60]
+    counts = quality_rules.text_counts(_documents(spark, texts))
+    verdicts = [
+        sorted((r["doc_id"], r["v"]) for r in counts.select("doc_id", quality_rules.cascade(list(order)).alias("v")).collect())
+        for order in (quality_rules.RULES, quality_rules.RULES[::-1])
+    ]
+    assert verdicts[0] == verdicts[1] and {v for _, v in verdicts[0]} == {True, False}
+    measured = quality_rules.measured_order(counts)
+    rates = [share / seconds for _, seconds, share in measured]
+    assert rates == sorted(rates, reverse=True) and {m[0] for m in measured} == set(quality_rules.RULES)
+
+
+# mixing
+
+
+def test_targets_by_filling_up(spark):
+    sizes = {"a": 100, "b": 900, "c": 50, "d": 10, None: 400}
+    rows = [(s, n) for s, n in sizes.items()]
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "source string, size bigint")).collect()}
+    weight = dict(zip(["a", "b", "c", "d", None], [5, 2, 1, 5, 2]))
+    target, capped = {}, set()
+    while True:
+        rest = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)
+        free = [s for s in sizes if s not in capped]
+        target = {s: 2.0 * sizes[s] if s in capped else rest * weight[s] / sum(weight[f] for f in free) for s in sizes}
+        above = {s for s in free if target[s] > 2 * sizes[s]}
+        if not above:
+            break
+        capped |= above
+    assert got == pytest.approx(target)
+
+
+def test_mix_meets_its_targets(spark):
+    texts = [plain_text(i, 5 + i % 9) for i in range(400)]
+    rows = [(i, t, "en", f"s{0 if i % 3 == 0 else i % 7}", 0) for i, t in enumerate(texts)]
+    got = mixing.mixture(spark.createDataFrame(rows, DOCUMENTS).repartition(6)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixture(spark.createDataFrame(rows, DOCUMENTS)).collect()))
+    source = {r[0]: r[3] for r in rows}
+    for name in set(source.values()):
+        mine = [r for r in got if source[r["doc_id"]] == name]
+        target = mine[0]["target"]
+        assert abs(sum(r["taken"] for r in mine) - target) <= max(r["size"] for r in mine)
+        assert {r["taken"] // r["size"] for r in mine} <= {int(target // mine[0]["source_size"]), int(target // mine[0]["source_size"]) + 1}
+
+
+# classifiers
+
+
+def test_preference_pairs():
+    labels = np.array([1, 0, 1, 1, 0])
+    pairs = quality_bt.preference_pairs(labels)
+    assert sorted(map(tuple, pairs.tolist())) == [(g, b) for g in (0, 2, 3) for b in (1, 4)]
+    many = quality_bt.preference_pairs(np.array([1] * 300 + [0] * 200), 1000)
+    assert len(many) == 1000 and (many[:, 0] < 300).all() and (many[:, 1] >= 300).all()
+
+
+def test_quality_ranking_on_held_out_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries()["op1_quality_ranking"](spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in marks]
+    assert np.mean([r["predicted"] == marks[r["doc_id"]] for r in rows]) > 0.95
+
+
+def test_toxicity_on_unseen_documents():
+    rng = np.random.default_rng(9)
+    bad = ["wretchfool", "grubhead", "slimeface"]
+    texts, labels = [], []
+    for i in range(400):
+        words = plain_text(i, 60).split()
+        if i % 2:
+            words[rng.integers(60)] = bad[rng.integers(3)] + ("" if i % 4 == 1 else "s")
+        texts.append(" ".join(words).encode())
+        labels.append(i % 2)
+    net = toxicity.fit(texts[:300], np.array(labels[:300]), ["en"] * 300)
+    scores = toxicity.Scorer(net).scores(texts[300:])
+    assert np.mean((scores >= toxicity.THRESHOLD) == np.array(labels[300:])) > 0.95
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    net = toxicity.Net(
+        rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)), {w: rng.normal(0, 1, (w, toxicity.DIM, n)) for w, n in toxicity.FILTERS.items()},
+        np.zeros(toxicity._POOLED), rng.normal(0, 1, toxicity._POOLED), trained=True,
+    )
+    texts = [plain_text(i, n).encode() for i, n in enumerate([1, 2, 3, 50, 700])] + [b"", None]
+    whole = toxicity.Scorer(net).logits(texts)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert toxicity.Scorer(net).logits(texts) == pytest.approx(whole, abs=1e-4)
+
+
+def test_best_cut_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        scores, labels = rng.integers(0, 8, 30) / 8.0, rng.integers(0, 2, 30).astype(float)
+        cut, f1 = toxicity.best_cut(scores, labels, np.ones(30))
+        tried = [toxicity.f1_at(c, scores, labels, np.ones(30)) for c in np.arange(-0.5, 1.6, 1 / 32)]
+        assert f1 == pytest.approx(max(tried)) and toxicity.f1_at(cut, scores, labels, np.ones(30)) == pytest.approx(f1)

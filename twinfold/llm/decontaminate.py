@@ -87,6 +87,8 @@ class _Matcher:
     def scan(self, tokens: list[bytes]) -> tuple[list[int], set[str]]:
         """Merged word spans [start, end) of all hits, flat, and the items hit."""
         number = self.numbers.get
+        if not self.items:
+            return [], set()
         starts: list[int] = []
         ends: list[int] = []
         found: set[int] = set()
