@@ -74,73 +74,62 @@ def exact_alerts(verdicts: DataFrame) -> DataFrame:
 # ---- copies held by different users ------------------------------------------------------------
 
 
-def _first_by_other(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each row of ``b`` with the earliest row of ``a`` that has its digest, another user and a lower id.
-
-    Two rows per digest decide it: the first of all, and the first by anyone but that one's user.
-    """
-    row = F.struct("id", F.col("downloaded_by").alias("user"), "file_name", "download_time")
-    known = a.where("downloaded_by IS NOT NULL")
-    per_user = stage(known.groupBy("file_hash", "downloaded_by").agg(F.min(row).alias("row")), "holders")
-    first = stage(per_user.groupBy("file_hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("users")), "first")
-    several = lookup_join(
-        per_user, first.where("users > 1"), "file_hash", "users", "downloaded_by", largest_of(first, "users")
-    )
-    other = several.where(F.col("row.user") != F.col("first.user")).groupBy("file_hash").agg(F.min("row").alias("other"))
-    copies = b.groupBy("file_hash").agg(F.count(F.lit(1)).alias("copies"))
-    table = stage(first.drop("users").join(other, "file_hash", "left").join(copies, "file_hash"), "partners")
-    found = lookup_join(
-        b.where("downloaded_by IS NOT NULL"), table, "file_hash", "copies", "id", largest_of(table, "copies")
+def _holders(sightings: DataFrame, user1: str, user2: str) -> DataFrame:
+    """(file_hash, downloaded_by, n, is_1, is_2): the known users of each digest, their copies, and whom they match."""
+    like = lambda user: contains_like(F.col("downloaded_by"), user) if user else F.lit(True)
+    held = sightings.where("downloaded_by IS NOT NULL").groupBy("file_hash", "downloaded_by")
+    return held.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("download_time", "id")).alias("first")).withColumns(
+        {"is_1": like(user1), "is_2": like(user2)}
     )
-    partner = F.when(F.col("first.user") != F.col("downloaded_by"), F.col("first")).otherwise(F.col("other"))
-    return found.withColumn("partner", partner).where("partner.id < id").drop("first", "other")
 
 
-def _pair_columns(found: DataFrame) -> DataFrame:
-    return found.select(
-        F.col("partner.id").alias("id_a"), F.col("partner.file_name").alias("file_name_a"),
-        F.col("partner.user").alias("user_a"), F.col("partner.download_time").alias("time_a"),
-        F.col("id").alias("id_b"), F.col("file_name").alias("file_name_b"),
-        F.col("downloaded_by").alias("user_b"), F.col("download_time").alias("time_b"),
-    )
-
+def cross_user_members(sightings: DataFrame, user1: str = "", user2: str = "") -> DataFrame:
+    """Every file that is one of a pair of copies held by different users; the pairs follow from these rows.
 
-def cross_user_pairs(sightings: DataFrame, user1: str = "", user2: str = "") -> DataFrame:
-    """Copies held by different users: each later copy with the earliest one of another user.
-
-    A digest with n copies gives at most n - 1 rows; listing every two of them would give n * (n - 1) / 2,
-    which ``cross_user_totals`` counts instead. With ``user1`` one of the two must match it; with both names
-    one must match the first and the other the second. Newest original first.
+    With ``user1`` one of the pair must match it; with both names one must match the first and the other the second. A digest
+    with n copies gives at most n rows, though it may have n * (n - 1) / 2 pairs, which ``cross_user_totals`` counts.
+    ``users``, ``copies_by_others`` and ``first_id`` (the earliest of all) are of the whole digest. A file of an unknown user is
+    in no pair.
     """
     rows = stage(sightings.select("file_hash", "id", "file_name", "downloaded_by", "download_time"), "sightings")
+    holders = stage(_holders(rows, user1, user2), "holders")
+    count = lambda condition: F.count_if(F.expr(condition))
+    digests = holders.groupBy("file_hash").agg(
+        F.count(F.lit(1)).alias("users"), F.sum("n").alias("copies"), F.min("first")["id"].alias("first_id"),
+        count("is_1").alias("users_1"), count("is_2").alias("users_2"),
+    )
+    known = stage(digests.where("users > 1").withColumn("held", F.col("users")), "digests")
+    shared = lookup_join(holders, known, "file_hash", "held", "downloaded_by", largest_of(known, "held"))
+    one = lambda flag: F.col(flag).cast("int")
     if user1 and user2:
-        is_1, is_2 = (contains_like(F.col("downloaded_by"), u) for u in (user1, user2))
-        both = _first_by_other(rows.where(is_1), rows.where(is_2)).union(_first_by_other(rows.where(is_2), rows.where(is_1)))
-        keys = ["file_hash", "id", "file_name", "downloaded_by", "download_time"]
-        found = both.groupBy(*keys).agg(F.min("partner").alias("partner"))
-    elif user1:
-        is_1 = F.coalesce(contains_like(F.col("downloaded_by"), user1), F.lit(False))
-        found = _first_by_other(rows, rows.where(is_1)).union(_first_by_other(rows.where(is_1), rows.where(~is_1)))
+        paired = (F.col("is_1") & (F.col("users_2") > one("is_2"))) | (F.col("is_2") & (F.col("users_1") > one("is_1")))
     else:
-        found = _first_by_other(rows, rows)
-    return _pair_columns(found).orderBy(F.desc("time_a"), F.desc("id_a"), F.desc("id_b"))
+        paired = F.col("is_1") | (F.col("users_1") > 0)
+    holder = F.struct("file_hash", "downloaded_by").alias("holder")
+    found = stage(
+        shared.where(paired).select(holder, "users", (F.col("copies") - F.col("n")).alias("copies_by_others"), "first_id", "n"), "members"
+    )
+    met = lookup_join(rows.withColumn("holder", holder), found, "holder", "n", "id", largest_of(found, "n"))
+    return met.drop("holder")
 
 
-def cross_user_totals(sightings: DataFrame) -> DataFrame:
-    """(file_hash, users, copies, pairs): how many pairs of copies by different users each digest has."""
-    per_user = (
-        sightings.where("downloaded_by IS NOT NULL").groupBy("file_hash", "downloaded_by")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    n = F.sum("n")
-    return (
-        per_user.groupBy("file_hash")
-        .agg(
-            F.count(F.lit(1)).alias("users"), n.alias("copies"),
-            ((n * n - F.sum(F.col("n") * F.col("n"))) / 2).cast("bigint").alias("pairs"),
-        )
-        .where("users > 1")
+def cross_user_totals(sightings: DataFrame, user1: str = "", user2: str = "") -> DataFrame:
+    """(file_hash, users, copies, pairs): how many pairs of copies by different users each digest has.
+
+    The names restrict the pairs as in ``cross_user_members``; ``users`` and ``copies`` are of the whole digest.
+    """
+    total = lambda condition: F.sum(F.when(F.expr(condition), F.col("n")).otherwise(0))
+    among = lambda condition: (  # pairs of copies by different users, both users meeting the condition
+        (total(condition) * total(condition) - F.sum(F.when(F.expr(condition), F.col("n") * F.col("n")).otherwise(0))) / 2
     )
+    if user1 and user2:
+        only_1, only_2, both = "is_1 AND NOT is_2", "is_2 AND NOT is_1", "is_1 AND is_2"
+        pairs = total(only_1) * total(only_2) + (total(only_1) + total(only_2)) * total(both) + among(both)
+    else:
+        pairs = among("true") - among("NOT is_1")
+    groups = _holders(sightings, user1, user2).groupBy("file_hash")
+    counted = groups.agg(F.count(F.lit(1)).alias("users"), F.sum("n").alias("copies"), pairs.cast("bigint").alias("pairs"))
+    return counted.where("pairs > 0")
 
 
 # ---- group report ------------------------------------------------------------------------------

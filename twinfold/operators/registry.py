@@ -15,6 +15,8 @@ from twinfold.functions.hashing import is_text
 from twinfold.functions.matching import contains_like, date_range
 from twinfold.functions.text import extracted_text
 from twinfold.operators.exact import with_original
+from twinfold.operators.skew import largest_of, lookup_join
+from twinfold.session import stage
 
 _LIST = ["file_name", "file_type", "downloaded_by", "download_time", "file_path"]
 _FOUND = ["file_name", "file_path", "downloaded_by", "download_time"]
@@ -33,10 +35,14 @@ def describe_text(observations: DataFrame, content: str = "content", max_chars:
 def first_sightings(observations: DataFrame) -> DataFrame:
     """The earliest observation of each digest.
 
-    Only digests, times and ids are aggregated; wide rows are then picked by id.
+    Digests, times and ids are staged, so contents are hashed once for them. What is left out, the later copies, is the smaller
+    part; the wide rows are only met by its ids.
     """
-    heads = observations.groupBy("file_hash").agg(F.min(F.struct("download_time", "id"))["id"].alias("id"))
-    return observations.join(heads.select("id"), "id", "left_semi")
+    seen = stage(observations.select("file_hash", "download_time", "id"), "seen")
+    table = seen.groupBy("file_hash").agg(F.min(F.struct("download_time", "id"))["id"].alias("head"), F.count(F.lit(1)).alias("n"))
+    several = stage(table.where("n > 1"), "several")
+    later = lookup_join(seen, several, "file_hash", "n", "id", largest_of(several, "n")).where("id <> head").select("id")
+    return observations.join(stage(later, "later"), "id", "left_anti")
 
 
 def insert_new(new: DataFrame, registry: DataFrame) -> DataFrame:

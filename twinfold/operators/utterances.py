@@ -28,7 +28,7 @@ from twinfold.fixed_values import (
 
 # the patterns mean word characters, digits and spaces of any script
 _ANY_SCRIPT = "(?U)"
-_LARGEST = 9.2e18
+_TOO_LARGE = 2.0**63  # the least number of bytes that is no BIGINT
 
 
 def _trimmed(text: Column) -> Column:
@@ -55,12 +55,12 @@ def intent(text: Column) -> Column:
 
 
 def size_bytes(text: Column) -> Column:
-    """'500 kb' as a number of bytes, cut off to a whole number; null without a size."""
+    """'500 kb' as a number of bytes, cut off to a whole number; null without a size, or with one beyond BIGINT."""
     low = F.lower(text)
     unit = _group(low, SIZE_PATTERN, 2)
     factor = reduce(lambda c, u: c.when(unit == u, SIZE_UNITS[u]), SIZE_UNITS, F.when(F.lit(False), 0))
     number = _group(low, SIZE_PATTERN, 1).try_cast("double")
-    return F.when(number.isNotNull(), F.least(number * factor, F.lit(_LARGEST)).cast("bigint"))
+    return F.when(number * factor < _TOO_LARGE, (number * factor).cast("bigint"))
 
 
 def file_type(text: Column) -> Column:

@@ -65,7 +65,7 @@ def _exact_against_registry(s: SparkSession, d: str) -> DataFrame:
 
 def _find_by_hash(s: SparkSession, d: str) -> DataFrame:
     registry = v.downloads(s, d)
-    digest = v.observations(s, d).agg(F.min("file_hash")).scalar()
+    digest = registry.agg(F.min("file_hash")).first()[0]  # a literal, which the scan can use
     return ex.find_by_hash(registry, digest).select("id", "file_name", "file_hash", "file_path", "downloaded_by")
 
 
@@ -106,7 +106,7 @@ def _best_match(s: SparkSession, d: str) -> DataFrame:
 
 def _text_alerts(s: SparkSession, d: str) -> DataFrame:
     files = v.downloads(s, d)
-    found = ts.best_earlier_match(rg.corpus_scan(files))
+    found = ts.best_earlier_match(v.corpus(s, d))
     return ts.text_alerts(files.drop("extracted_text"), found)
 
 
@@ -125,7 +125,9 @@ def _parameter(column: str) -> Query:
 def queries() -> dict[str, Query]:
     return {
         # sources and registry
-        "corpus_scan": lambda s, d: v.corpus(s, d).select("id", F.sha2("extracted_text", 256).alias("text_digest")),
+        "corpus_scan": lambda s, d: rg.corpus_scan(v.downloads(s, d)).select(
+            "id", F.sha2("extracted_text", 256).alias("text_digest")
+        ),
         "extract_text": lambda s, d: v.build_registry(s, d).select(
             "id", F.length("extracted_text").cast("bigint").alias("chars"), F.md5("extracted_text").alias("digest")
         ),
@@ -141,10 +143,12 @@ def queries() -> dict[str, Query]:
         "find_by_hash": _find_by_hash,
         "exact_dup_alerts": _sightings(ex.exact_dup_alerts),
         "exact_dup_alerts_registry": _exact_against_registry,
-        "cross_user_pairs": _sightings(ex.cross_user_pairs),
-        "cross_user_one": _sightings(lambda o: ex.cross_user_pairs(o, USER_1)),
-        "cross_user_two": _sightings(lambda o: ex.cross_user_pairs(o, USER_1, USER_2)),
+        "cross_user_pairs": _sightings(ex.cross_user_members),
+        "cross_user_one": _sightings(lambda o: ex.cross_user_members(o, USER_1)),
+        "cross_user_two": _sightings(lambda o: ex.cross_user_members(o, USER_1, USER_2)),
         "cross_user_totals": _sightings(ex.cross_user_totals),
+        "cross_user_totals_one": _sightings(lambda o: ex.cross_user_totals(o, USER_1)),
+        "cross_user_totals_two": _sightings(lambda o: ex.cross_user_totals(o, USER_1, USER_2)),
         "duplicate_groups": _sightings(ex.duplicate_groups),
         "duplicate_report": _sightings(ex.duplicate_report),
         # text

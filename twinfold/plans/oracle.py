@@ -73,8 +73,11 @@ VIEWS = {
             FROM obs QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY download_time, id) = 1""",
     ),
     "corpus": (
-        ["downloads"],
-        "SELECT id, download_time AS arrived, extracted_text FROM downloads WHERE extracted_text <> ''",
+        ["obs"],
+        f"""SELECT id, download_time AS arrived, extracted_text FROM (
+              SELECT id, download_time, CASE WHEN regexp_matches(content, '[^{SPACE_CHARS}]') THEN {_clean(_newlines('content'))} END AS extracted_text
+              FROM obs QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY download_time, id) = 1)
+            WHERE extracted_text <> ''""",
     ),
     "words": (
         ["corpus"],
@@ -207,13 +210,27 @@ def _between(start: str, end: str) -> str:
     return _downloads(_LIST, f"download_time >= TIMESTAMP '{start}' AND download_time < TIMESTAMP '{end}'")
 
 
+_PAIRS = "obs a JOIN obs b ON a.file_hash = b.file_hash AND a.id < b.id AND a.downloaded_by <> b.downloaded_by"
+
+
 def _cross_user(where: str) -> str:
-    """All pairs, then the earliest original of each later copy."""
+    """All pairs, and every file that is on one of their two sides."""
+    return _sql(
+        f"""SELECT o.file_hash, o.id, o.file_name, o.downloaded_by, o.download_time,
+                   count(DISTINCT x.downloaded_by) AS users, count(*) FILTER (x.downloaded_by <> o.downloaded_by) AS copies_by_others,
+                   arg_min(x.id, (x.download_time, x.id)) AS first_id
+            FROM obs o JOIN obs x ON x.file_hash = o.file_hash
+            WHERE o.id IN (SELECT a.id FROM {_PAIRS} WHERE {where} UNION SELECT b.id FROM {_PAIRS} WHERE {where})
+            GROUP BY ALL""",
+        "obs",
+    )
+
+
+def _cross_totals(where: str) -> str:
     return _sql(
-        f"""SELECT a.id AS id_a, a.file_name AS file_name_a, a.downloaded_by AS user_a, a.download_time AS time_a,
-                   b.id AS id_b, b.file_name AS file_name_b, b.downloaded_by AS user_b, b.download_time AS time_b
-            FROM obs a JOIN obs b ON a.file_hash = b.file_hash AND a.id < b.id AND a.downloaded_by <> b.downloaded_by
-            WHERE {where} QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY a.id) = 1""",
+        f"""SELECT file_hash, users, copies, pairs FROM
+              (SELECT a.file_hash, count(*) AS pairs FROM {_PAIRS} WHERE {where} GROUP BY a.file_hash)
+              JOIN (SELECT file_hash, count(DISTINCT downloaded_by) AS users, count(*) AS copies FROM obs GROUP BY file_hash) USING (file_hash)""",
         "obs",
     )
 
@@ -331,7 +348,7 @@ def oracle_sql() -> dict[str, str]:
     u1, u2 = (lambda s: _like(f"{s}.downloaded_by", c.USER_1)), (lambda s: _like(f"{s}.downloaded_by", c.USER_2))
     message = _quoted(ALERT_MESSAGE.replace("%d%%", "%d%%"))
     return {
-        "corpus_scan": _sql("SELECT id, sha256(extracted_text) AS text_digest FROM corpus", "corpus"),
+        "corpus_scan": _downloads("id, sha256(extracted_text) AS text_digest", "extracted_text <> ''"),
         "extract_text": _downloads("id, length(extracted_text) AS chars, md5(extracted_text) AS digest"),
         "registry_insert": _sql(
             f"""SELECT id, file_hash, file_name, file_hash NOT IN (SELECT file_hash FROM ({known}))
@@ -354,12 +371,9 @@ def oracle_sql() -> dict[str, str]:
         "cross_user_pairs": _cross_user("true"),
         "cross_user_one": _cross_user(f"{u1('a')} OR {u1('b')}"),
         "cross_user_two": _cross_user(f"({u1('a')} AND {u2('b')}) OR ({u2('a')} AND {u1('b')})"),
-        "cross_user_totals": _sql(
-            """SELECT file_hash, users, copies, pairs FROM
-                 (SELECT file_hash, count(DISTINCT downloaded_by) AS users, count(*) AS copies FROM obs GROUP BY file_hash)
-               JOIN (SELECT a.file_hash, count(*) AS pairs FROM obs a JOIN obs b
-                     ON a.file_hash = b.file_hash AND a.id < b.id AND a.downloaded_by <> b.downloaded_by GROUP BY a.file_hash)
-               USING (file_hash)""", "obs"),
+        "cross_user_totals": _cross_totals("true"),
+        "cross_user_totals_one": _cross_totals(f"{u1('a')} OR {u1('b')}"),
+        "cross_user_totals_two": _cross_totals(f"({u1('a')} AND {u2('b')}) OR ({u2('a')} AND {u1('b')})"),
         "duplicate_groups": _sql(
             """SELECT file_hash, count(*) AS files, count(DISTINCT downloaded_by) AS users, min(download_time) AS first_seen,
                       max(download_time) AS last_seen, CAST(sum(file_size) - min(file_size) AS BIGINT) AS wasted_bytes

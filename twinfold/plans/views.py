@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinfold.fixed_values import SAMPLED_FRAMES
 from twinfold.functions.bits import median_bits
 from twinfold.functions.hashing import base_name, content_sha256, extension, size_bytes
+from twinfold.functions.text import extracted_text
 from twinfold.operators.alerts import current_status
 from twinfold.operators.media import video_fingerprints as _fingerprints
 from twinfold.operators.registry import corpus_scan, describe_text, first_sightings
@@ -82,12 +83,22 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _registries[key]
 
 
+_corpora: dict[tuple[str, str], DataFrame] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_scan(downloads(spark, sf_dir))
+    """(id, arrived, extracted_text): every distinct text, whatever type its file claims; taken in once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _corpora:
+        texts = first_sightings(observations(spark, sf_dir)).select(
+            "id", "download_time", extracted_text(F.col("content")).alias("extracted_text")
+        )
+        _corpora[key] = stage(corpus_scan(texts), "corpus")
+    return _corpora[key]
 
 
 def corpora(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(new, stored): the registry's texts from the cut day on, and those before it."""
+    """(new, stored): the texts from the cut day on, and those before it."""
     texts = corpus(spark, sf_dir)
     cut = _cut_day(observations(spark, sf_dir))
     return texts.where(F.col("arrived") >= cut), texts.where(F.col("arrived") < cut)

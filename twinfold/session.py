@@ -25,31 +25,33 @@ def local_session(cpus: int = 8, app: str = "twinfold", memory: str = "8g", **ex
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus))
     )
-    for key, value in {**SETTINGS, **extra}.items():
+    own = {"spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='twinfold-')}"}
+    for key, value in {**SETTINGS, **own, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-_local_roots: dict[str, str] = {}
+def ensure_stage_root(spark: SparkSession) -> None:
+    """Name a folder for intermediate data where the session names none and driver and executors are one process."""
+    if not _named_root(spark) and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='twinfold-')}")
+
+
+def _named_root(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``; the setting is required.
 
-    A local session without that setting gets a fresh temporary folder. On a cluster a machine-local
-    folder would lose data with its executor, so there the setting is required.
+    ``local_session`` and the driver's entry point set it for a session on one machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    root = _named_root(spark)
+    if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="twinfold-")
-    return _local_roots[app]
+    return root.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -33,7 +33,8 @@ def alert_feed(
 
     def show(rows: DataFrame, batch: int) -> None:
         log = store.read("status_log", writer, before=batch)
-        mine = rows.where(F.col("alert_for") == user).dropDuplicates(["id"])
+        mine = stage(rows.where(F.col("alert_for") == user).dropDuplicates(["id"]), "delivered")
+        log = log.join(mine.select(F.col("id").alias("alert_id")), "alert_id", "left_semi")
         pending = stage(alerts_pending(current_status(mine, log), user), "pending")
         deliver(pending.orderBy("id"), batch)
         store.write(status_change(pending, "shown", _now(), F.lit(batch)), "status_log", writer, batch)
