@@ -8,7 +8,7 @@ A run of repeats one behind the other with at least ``MIN_WORDS`` words is a rep
 The digest has 64 bits. A passage takes several chunks in a row, so that a chance collision makes no passage.
 
 Chunks are numbers (digest, doc_id, place) and are shuffled once by digest. Digests that hold more than 1/``HOT`` of a bounded sample are
-met by a broadcast of at most ``HOT`` rows instead; a digest that the sample misses is only dealt less evenly.
+looked up in a map of at most ``HOT`` entries instead; a digest that the sample misses is only dealt less evenly.
 
 Defined results: null and empty texts have no chunks. Rows with one doc_id are one document: what repeats within it is no repeat. Rows with a null
 doc_id neither keep nor lose anything. Other columns are not looked at.
@@ -138,8 +138,9 @@ def repeats(table: DataFrame) -> DataFrame:
     keeper = F.min("doc_id").over(W.partitionBy("digest"))
     found = table.where(~is_hot).withColumn("keeper", keeper)
     if hot:
-        least = table.where(is_hot).groupBy("digest").agg(F.min("doc_id").alias("keeper"))
-        found = found.unionByName(table.where(is_hot).join(F.broadcast(least), "digest"))  # at most HOT rows
+        least = table.where(is_hot).groupBy("digest").agg(F.min("doc_id").alias("keeper")).collect()  # at most HOT rows
+        keepers = F.create_map(*[F.lit(x) for r in least for x in (r["digest"], r["keeper"])])
+        found = found.unionByName(table.where(is_hot).withColumn("keeper", F.element_at(keepers, F.col("digest"))))
     return found.where("doc_id > keeper").select("doc_id", "place", "keeper")
 
 
