@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from twinfold.functions.matching import contains_like
 from twinfold.operators.skew import largest_of, lookup_join
-from twinfold.session import stage
+from twinfold.session import Keep, stage
 
 _FILE = ["id", "file_name", "file_path", "downloaded_by", "download_time"]
 
@@ -33,15 +33,16 @@ def originals(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     row = lambda known: F.struct(F.lit(known).alias("known"), "download_time", "id", "file_name", "file_path", "downloaded_by")
     found = new.select("file_hash", row(1).alias("row"), F.lit(1).alias("n"))
     if registry is not None:
+        registry = registry.join(new.select("file_hash").distinct(), "file_hash", "left_semi")  # new files are the few
         found = found.union(registry.select("file_hash", row(0).alias("row"), F.lit(0).alias("n")))
     groups = found.groupBy("file_hash").agg(F.min("row").alias("original"), F.sum("n").alias("sightings"))
     return groups.where("sightings > 0") if registry is not None else groups
 
 
-def with_original(new: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+def with_original(new: DataFrame, registry: DataFrame | None = None, keep: Keep = stage) -> DataFrame:
     """The rows of ``new`` with ``original`` and ``accepted``: true for the one row that enters the registry."""
-    new = stage(new.select("file_hash", *_FILE), "sightings")
-    table = stage(originals(new, registry), "originals")
+    new = keep(new.select("file_hash", *_FILE), "sightings")
+    table = keep(originals(new, registry), "originals")
     found = lookup_join(new, table, "file_hash", "sightings", "id", largest_of(table, "sightings"))
     first = (F.col("original.known") == 1) & (F.col("original.id") == F.col("id"))
     return found.withColumn("accepted", first)

@@ -28,7 +28,9 @@ from twinfold.fixed_values import (
     WORD_CHARS,
 )
 from twinfold.plans import catalog as c
+from twinfold.plans.streams import BATCHES
 from twinfold.plans.views import EPOCH, FILE_TYPES
+from twinfold.streaming.monitor import ID_SPACE
 
 
 def _list(values) -> str:
@@ -103,6 +105,35 @@ VIEWS = {
               SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS dot FROM unit x JOIN unit y USING (term)
               WHERE x.id < y.id GROUP BY ALL) WHERE round(dot, 8) >= {TEXT_SIMILARITY_THRESHOLD}""",
     ),
+    # the monitor: texts of text types, each weighed with those before it and itself
+    "filed": (
+        ["downloads"],
+        f"""SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, list_filter(regexp_extract_all(extracted_text, '[{WORD_CHARS}]{{2,}}'),
+                   lambda w: w NOT IN ({_list(ENGLISH_STOP_WORDS)})) AS kept FROM downloads WHERE extracted_text <> ''""",
+    ),
+    "filed_tf": (
+        ["filed"],
+        """SELECT *, row_number() OVER (PARTITION BY term ORDER BY id) AS upto,
+                  coalesce(lead(id) OVER (PARTITION BY term ORDER BY id), 9223372036854775807) AS next_id, ln((2 + n) / (1 + upto)) + 1 AS idf1
+           FROM (SELECT id, n, term, count(*) AS tf FROM (SELECT id, n, unnest(kept) AS term FROM filed) GROUP BY ALL)""",
+    ),
+    "arrival_pairs": (
+        ["filed_tf"],
+        f"""SELECT * FROM
+                    (SELECT x.id AS a, y.id AS b, any_value(x.n) AS any_n, sum(x.tf * y.tf * x.idf1 ** 2) AS dot
+                     FROM filed_tf x JOIN filed_tf y ON x.term = y.term AND y.id < x.id GROUP BY ALL)
+                    JOIN (SELECT id AS a, sum((tf * idf1) ** 2) AS norm_a FROM filed_tf GROUP BY id) USING (a)
+                    JOIN (SELECT id AS b, sum((tf * greatest(1, ln((2 + n) / (1 + df)) + 1)) ** 2) AS least_b
+                          FROM (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM filed_tf) GROUP BY id) USING (b)
+            WHERE dot >= {TEXT_SIMILARITY_THRESHOLD} * 0.999 * sqrt(norm_a * least_b)""",
+    ),
+    "arrival_cosine": (
+        ["arrival_pairs"],
+        f"""SELECT a, b, round(any_value(dot) / sqrt(any_value(norm_a) * sum((y.tf * coalesce(x.idf1, ln((2 + any_n) / (1 + r.upto)) + 1)) ** 2)), 8) AS score
+            FROM arrival_pairs p JOIN filed_tf y ON y.id = p.b LEFT JOIN filed_tf x ON x.id = p.a AND x.term = y.term
+            JOIN filed_tf r ON r.term = y.term AND p.a > r.id AND p.a <= r.next_id
+            GROUP BY a, b HAVING score >= {TEXT_SIMILARITY_THRESHOLD}""",
+    ),
     "bag": (
         ["words"],
         """SELECT id, min(id) OVER (PARTITION BY list_sort(kept)) AS head,
@@ -176,6 +207,9 @@ VIEWS = {
 }
 
 
+_MATERIALIZED = {"filed_tf", "arrival_pairs"}  # large, and used several times
+
+
 def _sql(body: str, *views: str) -> str:
     """``body`` after the views it needs, each once, in order of need."""
     order: list[str] = []
@@ -188,7 +222,7 @@ def _sql(body: str, *views: str) -> str:
 
     for name in views:
         need(name)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _MATERIALIZED else ''}({VIEWS[n][1]})" for n in order)
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
@@ -464,10 +498,13 @@ SELECT x.video""", 1),
                   o.file_name AS original_file, o.file_path AS original_path, o.downloaded_by AS original_user
                 FROM obs n JOIN ({_FIRST}) o USING (file_hash) WHERE o.id <> n.id
                 UNION ALL
-                SELECT file_name, downloaded_by, 'text_similar', round(score, 6), 'db_id:' || place, '', ''
-                FROM (SELECT * FROM cosine QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, a) = 1)
-                JOIN downloads d ON d.id = b
-                JOIN (SELECT id, row_number() OVER (ORDER BY download_time) AS place FROM obs) p ON p.id = a""", "cosine", "downloads"),
+                SELECT file_name, downloaded_by, 'text_similar', round(score, 6), 'db_id:' || file_id, '', ''
+                FROM (SELECT * FROM arrival_cosine QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+                JOIN downloads d ON d.id = a
+                JOIN (SELECT id, part * {ID_SPACE} + row_number() OVER (PARTITION BY part ORDER BY download_time) AS file_id
+                      FROM (SELECT id, download_time, floor((id - first) * {BATCHES} / (last - first + 1))::BIGINT AS part
+                            FROM obs, (SELECT min(id) AS first, max(id) AS last FROM obs))) p ON p.id = b""",
+            "arrival_cosine", "downloads"),
         "monitor_registry": _downloads("file_name, file_hash, file_type, file_size, downloaded_by, md5(extracted_text) AS text_digest"),
         "alert_feed": _sql(f"SELECT * FROM alerts WHERE alert_for = '{c.ALERT_USER}' AND status = 'pending'", "alerts"),
         "stats_feed": _sql(

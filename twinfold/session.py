@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,13 +55,40 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table.
 
     Used where a result feeds several later joins: the lineage is cut, nothing is computed twice, and a
     lost executor costs only a re-read.
     """
-    spark = df.sparkSession
-    path = f"{stage_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, label)[0]
+
+
+class Held:
+    """``stage`` for one unit of work, such as a micro-batch: ``release`` deletes what it wrote."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        table, path = _written(df, label)
+        self._paths.append(path)
+        return table
+
+    def release(self) -> None:
+        jvm = self._spark._jvm
+        conf = self._spark._jsc.hadoopConfiguration()
+        while self._paths:
+            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+#: How an intermediate table is kept: by ``stage``, or by a ``Held``.
+Keep = Callable[[DataFrame, str], DataFrame]
