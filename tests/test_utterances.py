@@ -40,6 +40,8 @@ CASES = [
     ("  ", None, None, None, None),
     ("zażółć gęślą", "search", "search", "zażółć gęślą", None),
     ("éhi", "search", "search", "éhi", None),
+    ("müller's files", "by_user", "search", "müller s", None),
+    ("duplicates between zoë and ann", "cross_user_dups", "cross_user_dups", None, None),
 ]
 
 

@@ -193,6 +193,8 @@ def queries() -> dict[str, Query]:
         # questions
         "utterance_intents": _log(ut.utterance_intents),
         "intent_counts": _log(ut.intent_counts),
+        "conversation_intents": lambda s, d: v.turns(s, d).select("conv_id", "turn", ut.intent(F.col("text")).alias("intent")),
+        "conversation_intent_counts": lambda s, d: ut.intent_counts(v.turns(s, d)),
         "utterance_size": _parameter("min_bytes"),
         "utterance_type": _parameter("file_type"),
         "utterance_user": _parameter("user_name"),

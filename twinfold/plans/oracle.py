@@ -29,7 +29,7 @@ from twinfold.fixed_values import (
 )
 from twinfold.plans import catalog as c
 from twinfold.plans.streams import BATCHES
-from twinfold.plans.views import EPOCH, FILE_TYPES
+from twinfold.plans.views import EPOCH, FILE_TYPES, QUESTIONS
 from twinfold.streaming.monitor import ID_SPACE
 
 
@@ -198,10 +198,8 @@ VIEWS = {
     ),
     "asked": (
         [],
-        """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'files from user u' || user_id
-             WHEN 'view' THEN 'show all pdfs' WHEN 'signup' THEN 'files downloaded today'
-             WHEN 'purchase' THEN 'files larger than ' || k || ' kb'
-             ELSE 'duplicates between u' || user_id || ' and u' || k END AS text
+        f"""SELECT event_id AS id, replace(replace(([{_list(QUESTIONS)}])[(event_id % {len(QUESTIONS)} + 1)::INT], '{{u}}', user_id::VARCHAR),
+                                          '{{k}}', k) AS text
            FROM (SELECT *, regexp_extract(props, '[0-9]+') AS k FROM events)""",
     ),
 }
@@ -487,6 +485,11 @@ SELECT x.video""", 1),
                   original_user, CAST(trunc(similarity * 100) AS INT), duplicate_type) AS message FROM alerts""", "alerts"),
         "utterance_intents": _sql(f"SELECT id, text, {_intent()} AS intent FROM asked", "asked"),
         "intent_counts": _sql(f"SELECT {_intent()} AS intent, count(*) AS n FROM asked GROUP BY 1", "asked"),
+        # this engine's \\b and \\w know ASCII only, so other characters become a word character that no pattern names
+        "conversation_intents": f"""SELECT conv_id, turn, {_intent()} AS intent
+            FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM conversations)""",
+        "conversation_intent_counts": f"""SELECT {_intent()} AS intent, count(*) AS n
+            FROM (SELECT regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM conversations) GROUP BY 1""",
         "utterance_size": _asked(_min_bytes(), "min_bytes"),
         "utterance_type": _asked(_file_type(), "file_type"),
         "utterance_user": _asked(_user_name(), "user_name"),

@@ -192,15 +192,25 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_status(alert_log(spark, sf_dir), status_log(spark, sf_dir))
 
 
+#: Questions of every kind; {u} and {k} stand for the user and the number of an event.
+QUESTIONS = [
+    "files from user u{u}", "show all pdfs", "files downloaded today", "files larger than {k} kb", "duplicates between u{u} and u{k}",
+    "Hello there", "bye, u{u}", "I need help", "show stats", "summary of {k} files", "any duplicates for user u{u}?", "show my alerts",
+    "what came yesterday", "files this  week", "files of this month", "downloads last month", "{k} mb or more", "size > {k}kb",
+    "size > {k}", "find XLSX and docx {k}", "u{u}'s files", "list every file", "show downloads", "search report {k}", "find the file",
+    "quarterly budget u{u}", "wav recordings {k}", "u{u} and u{k} duplicates of users", "show u{u}", "zażółć gęślą {k}",
+]
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text): a question per event."""
-    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    k = F.col("k").cast("string")
-    text = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit("files from user "), user))
-        .when(F.col("event_type") == "view", F.lit("show all pdfs"))
-        .when(F.col("event_type") == "signup", F.lit("files downloaded today"))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit("files larger than "), k, F.lit(" kb")))
-        .otherwise(F.concat(F.lit("duplicates between "), user, F.lit(" and u"), k))
-    )
+    """(id, text): a question per event, of each kind in turn."""
+    kinds = F.array(*[F.lit(q) for q in QUESTIONS])
+    text = F.get(kinds, F.pmod("event_id", F.lit(len(QUESTIONS))).cast("int"))
+    text = F.replace(F.replace(text, F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{k}"), F.col("k").cast("string"))
     return _events(spark, sf_dir).select(F.col("event_id").alias("id"), text.alias("text"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, id, text): every turn of a conversation as a question."""
+    c = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id")
+    return c.select("conv_id", "turn", F.col("conv_id").alias("id"), "text")
