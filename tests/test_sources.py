@@ -2,8 +2,11 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from twinfold.operators.exact import exact_dup_alerts
 from twinfold.session import stage
+from twinfold.sources import files as files_module
 from twinfold.sources.files import scan_observations
 from twinfold.sources.tables import read_table
 
@@ -42,3 +45,20 @@ def test_stage_cuts_the_plan(spark):
     staged = stage(spark.range(10).selectExpr("id", "id * 2 AS twice"), "test")
     assert staged.count() == 10
     assert "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """With a limit of ten bytes most files are large; digests are the same either way, and Spark opens none of the large ones."""
+    monkeypatch.setattr(files_module, "PIECE_BYTES", 7)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "10")
+    try:
+        contents = {"a.txt": b"Hello, World " * 9, "b b%20.mp4": b"\x00\xff" * 50, "c.txt": b"small"}
+        for name, data in contents.items():
+            (tmp_path / name).write_bytes(data)
+        rows = files_module.describe_files(files_module.scan_folder(spark, str(tmp_path)), F.lit("ann"), cell_bytes=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert {r.file_name: (r.file_hash, r.file_size) for r in rows} == {
+        n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in contents.items()
+    }
+    assert {r.file_name: r.extracted_text for r in rows} == {"a.txt": None, "b b%20.mp4": None, "c.txt": "small"}
