@@ -23,6 +23,7 @@ def test_no_nested_loops(spark, sf_dir, name):
         ("search_dates", "GreaterThanOrEqual(download_time"),
         ("date_week", "LessThan(download_time"),
         ("search_size_range", "LessThanOrEqual(file_size"),
+        ("find_by_hash", "EqualTo(file_hash"),
     ],
 )
 def test_filters_reach_the_scan(spark, sf_dir, name, pushed):
