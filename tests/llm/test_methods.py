@@ -397,6 +397,25 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert toxicity.Scorer(net).logits(texts) == pytest.approx(whole, abs=1e-4)
 
 
+def test_long_words_are_read_to_their_end():
+    rng = np.random.default_rng(11)
+    bad = ["蠢货滚开", "废物去死", "白痴闭嘴"]
+    texts, labels = [], []
+    for i in range(400):
+        run = "".join(chr(c) for c in rng.integers(0x4E00, 0x4E00 + 800, 300))
+        at = int(rng.integers(40, 290))
+        texts.append((run[:at] + (bad[rng.integers(3)] if i % 2 else "") + run[at:] + "。").encode())
+        labels.append(i % 2)
+    net = toxicity.fit(texts[:300], np.array(labels[:300]), ["zh"] * 300)
+    scores = toxicity.Scorer(net).scores(texts[300:])
+    assert np.mean((scores >= toxicity.THRESHOLD) == np.array(labels[300:])) > 0.9
+    for n in (0, 1, 40, 41, 64, 65, 500):
+        word = bytes(97 + i * i % 26 for i in range(n))
+        pieces = toxicity.tokens(b"a " + word)[1:]
+        assert max(map(len, pieces), default=0) <= toxicity.WORD_BYTES
+        assert all(any(word[i : i + 16] in p for p in pieces) for i in range(max(n - 15, 0)))
+
+
 def test_best_cut_by_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):
