@@ -2,7 +2,7 @@
 
 import pytest
 from tests.llm.tables import DOCUMENTS, odd_rows, plain_text, with_clashes
-from twinfold.llm import chunk_dedup, decontaminate, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm import chunk_dedup, common, decontaminate, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -54,6 +54,19 @@ def test_learning_without_labels(spark, odd):
     assert {(r["score"], r["rejected"]) for r in toxicity.classify(odd, none).collect()} == {(0.0, False)}
 
 
+def test_one_long_text_leaves_the_rest_of_the_sample(spark):
+    rows = [(i, plain_text(i), "en", "s", 0) for i in range(20)]
+    marks = _labels(spark, [(i, i % 2, i % 2) for i in range(24)])
+    sample = lambda texts, most: common.labelled_sample(spark.createDataFrame(texts, DOCUMENTS), marks, "toxic", 100, most)
+    usual = {(r["doc_id"], r["label"]) for r in sample(rows, 20_000).collect()}
+    assert usual == {(i, i % 2) for i in range(20)}
+    for long in ([20], [21], [20, 21, 22, 23]):  # whatever its place in the order
+        texts = rows + [(i, "long " * 5_000, "en", "s", 0) for i in long]
+        assert {(r["doc_id"], r["label"]) for r in sample(texts, 20_000).collect()} == usual
+    some = [r for r in sample(rows + [(22, "x" * 4_000, "en", "s", 0), (23, "x" * 900, "en", "s", 0)], 5_000).collect()]
+    assert sum(len(r["text"]) for r in some) <= 5_000 and {r["label"] for r in some} == {0, 1}
+
+
 def test_decontamination_values(spark, odd):
     found = {r["doc_id"]: r for r in decontaminate.contamination(odd, _benchmark(spark)).collect() if r["doc_id"] is not None}
     assert found[2]["n_hit"] == found[2]["n_words"] == 60

@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 
 from twinfold.sources.tables import read_table
 
+#: A row of more than this share of the characters that a sample may hold is taken last.
+LONG_SHARE = 1 / 64
+
 #: A run of characters that are not ASCII white space, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,6 +75,9 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_clas
 
     Rows are chosen by a hash of their id, in its order, from all over the table, for label 0 and 1 apart. A doc_id that is labelled
     twice counts once, by its larger label. The bound on both sides makes the choice small enough to broadcast and to collect.
+
+    Each label has half of the rows and characters, and what the other leaves. Rows of more than ``LONG_SHARE`` of ``max_chars`` come last in
+    their label, the shortest first, so one that does not fit keeps out none but longer ones.
     """
     from pyspark.sql import Window as W
 
@@ -93,6 +99,15 @@ def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, rows_per_clas
         picked = known.limit(0)
     met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(picked), "doc_id")
     met = stage(met, f"labelled-{label}")
-    room = W.orderBy(F.xxhash64("doc_id", "text"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    sized = met.withColumn("_upto", F.sum(F.length("text")).over(room)).withColumn("_place", F.row_number().over(room))
-    return sized.where((F.col("_upto") <= max_chars) & (F.col("_place") <= 2 * rows_per_class)).select("doc_id", "text", "lang", "label")
+    size = F.length("text").cast("bigint")
+    held = {r["label"]: r for r in met.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("chars")).collect()}
+
+    def share(of: str, most: int) -> Column:
+        left = {value: most - sum(r[of] for other, r in held.items() if other != value) for value in held}
+        return F.coalesce(*[F.when(F.col("label") == value, F.lit(max(most // 2, n))) for value, n in left.items()], F.lit(most))
+
+    order = [F.greatest(size, F.lit(int(max_chars * LONG_SHARE))), F.xxhash64("doc_id", "text"), "doc_id"]
+    room = W.partitionBy("label").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sized = met.withColumn("_upto", F.sum(size).over(room)).withColumn("_place", F.row_number().over(room))
+    fits = (F.col("_upto") <= share("chars", max_chars)) & (F.col("_place") <= share("rows", 2 * rows_per_class))
+    return sized.where(fits).select("doc_id", "text", "lang", "label")
