@@ -291,6 +291,31 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["t"] for r in row.collect()} == {0: "é [SECRET] and [SECRET] end", 1: "clean", 2: None}
 
 
+def test_private_keys_go_whole(spark):
+    import base64
+
+    body = base64.b64encode(bytes(i * i % 251 for i in range(7_000))).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    encrypted = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    keys = [
+        "\n".join([begin, *lines, end]), "\r\n".join([begin, *lines, end]), "\\n".join([begin, *lines, end]), "\\\\n".join([begin, *lines, end]),
+        " ".join([begin, *lines, end]), f"{begin}{body}{end}", encrypted + "\n".join([*lines, end]), "\n    ".join([begin, *lines, end]),
+        '\\n" +\n    "'.join([begin, *lines, end]), "\n".join([begin, *lines]), "\\n".join([begin, *lines]), "\n".join([begin, "Ab1", "cD+/=="]),
+        "\n".join([begin, *lines[:3], lines[3][:7]]), encrypted + "\n".join(lines), begin,
+    ]
+    tails = ["", " and so on.", "\nThe rest stays, all of it."]
+    texts = [f"see {key}{tail}" for key in keys for tail in tails if not (tail[:1] == " " and key.endswith(lines[3][:7]))]
+    tail_of = lambda t: next(x for x in reversed(tails) if t.endswith(x))
+    rows = secret_scan.scan(_documents(spark, texts), keep=("text",)).select("text", secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["t"] == "see [SECRET]" + tail_of(r["text"])
+    two = "\n".join([begin, *lines[:2], end, "Some words, and a second one:", begin, *lines[2:4], end])
+    row = secret_scan.scan(_documents(spark, [two]), keep=("text",)).select(secret_scan.redacted(F.col("text"), F.col("spans")).alias("t")).first()
+    assert row["t"] == "[SECRET]\nSome words, and a second one:\n[SECRET]"
+
+
 # rules
 
 

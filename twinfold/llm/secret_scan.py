@@ -36,6 +36,15 @@ class Rule:
     least: int = 1
 
 
+#: What may stand between the lines of a key: its headers; base64, line ends (real or spelled out) and quoting up to the END line; or, where
+#: that line is missing, whole lines of base64, and runs of it that are padded or have 16 characters. All possessive: no backtracking, no deep stack in Java.
+_KEY_HEADERS = r"""(?:(?:[\x20\x09-\x0D]|\\+[nrt])*+[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]*+:\x20[^\r\n\\]*+(?=[\r\n\\]))*+"""
+_KEY_TO_END = r"""[A-Za-z0-9+/=\x20\x09-\x0D\\"'`,#>*|]*+-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"""
+_KEY_LINES = (
+    r"""(?:(?:[\x20\t"'`]|[\r\n]|\\+[nrt])*+[A-Za-z0-9+/]{16,}+=*+"""
+    r"""|[\x20\t"'`+,#>*|]*+(?:[\r\n]|\\+[nr])(?:[\x20\t"'`#>*|]|[\r\n]|\\+[nrt])*+[A-Za-z0-9+/]++(?:=++|(?=[\x20\t"'`,]*+(?:[\r\n\\]|$))))*+"""
+)
+
 #: Kinds, expressions and lengths that decide results; the first three are the base.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -46,7 +55,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_KEY_HEADERS}(?:{_KEY_TO_END}|{_KEY_LINES})"),
 )
 BASE = 3
 
