@@ -239,6 +239,27 @@ def test_main_text(spark):
     assert html_main.extract(pages.limit(0)).collect() == []
 
 
+def test_names_and_forms_around_the_page():
+    text, rest = "word " * 60, '<div class="sidebar"><p>some links of ours</p></div><p>so long</p>'
+    pages = [
+        f"<body class='no-sidebar'><p>{text}</p></body>", f"<div id='page-with-sidebar'><p>{text}</p></div>",
+        f"<article class='post share-enabled'><p>{text}</p></article>", f"<p data-id='menu' data-class=ad title='class=ad'>{text}</p>",
+        f"<head><meta charset=utf-8><title>no</title><body><p>{text}</p></body>", f"<head><title>no</title><p>{text}</p>", f"<head><title>no</title>{text}", f"<head><title>no</title><span>{text}</span>",
+        f"<body><form action='/'><input name=q><p>{text}</p></form></body>", f"<form id=menu><div class='widget'><p>{text}</p></div></form>",
+        f"<div class='page-sidebar'><main><p>{text}</p></main></div>",
+    ]
+    for page in pages:
+        assert html_main.main_text(page, html_main.Weights()) == text.strip(), page
+    wrapped = html_main.main_text(f"<div id='page-with-sidebar'><p>{text}</p>{rest}</div><footer>me</footer>", html_main.Weights())
+    assert wrapped == text.strip() + "\n\nso long"
+    comments = f"<div id='comments'><article><p>{'no ' * 20}</p></article><article><p>{'no ' * 20}</p></article></div>"
+    assert html_main.main_text(f"<article><p>{text}</p></article>{comments}", html_main.Weights()) == text.strip()
+    many = f"<div id='comments'><p>{'no ' * 300}</p></div>"
+    assert html_main.main_text(f"<p>{text}</p>{many}<p class='advert'>buy</p>", html_main.Weights()) == text.strip()
+    deep = "<div class=ad>" * 3_000 + text
+    assert html_main.main_text(deep, html_main.Weights()) == text.strip()
+
+
 def test_best_region_by_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -7,7 +7,11 @@ finds the contiguous region with the largest sum, and its blocks are the text.
 
 Elements that are no content by their name or class (``DROPPED_TAGS``, ``DROPPED_NAMES``) score 0 and are left out, wherever they stand, so an
 advert inside an article does not cut it. A ``header`` or ``footer`` counts as content only inside an article. Scripts, styles and HTML
-comments end where the HTML standard ends them; a tag that the page's end cuts off is dropped.
+comments end where the HTML standard ends them, and so does a head without an end tag; a tag that the page's end cuts off is dropped.
+
+Forms, and elements dropped by a part of their class, id or role, are only hits: they stay if they hold the largest ``article`` or ``main``. Hits around more
+than half of the words are scanned once more as content, their own tags at ``-MAX_WEIGHT``; that region is taken where the one without them
+scores less than ``WIDE_SHARE`` of it.
 
 Weights come from a bounded sample (``SAMPLE_PAGES`` pages, ``SAMPLE_CHARS`` characters, ``CLASSES`` kinds of token). Extraction is one pass without a shuffle.
 
@@ -38,11 +42,12 @@ WORD_PRIOR = 0.5
 TAG_PRIOR = -0.5
 TAG_COST = 0.01
 MAX_WEIGHT = 8.0
+WIDE_SHARE = 0.1
 
 #: Elements and names of classes or ids that decide what is no content (fixed values).
 RAW_TAGS = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 DROPPED_TAGS = {
-    "head", "nav", "aside", "form", "button", "select", "option", "label", "input", "menu", "dialog", "svg", "canvas", "object",
+    "head", "nav", "aside", "button", "select", "option", "label", "input", "menu", "dialog", "svg", "canvas", "object",
     "audio", "video",
 }
 DROPPED_OUTSIDE_ARTICLE = {"header", "footer"}
@@ -53,6 +58,9 @@ DROPPED_NAMES = {
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 CONTENT_TAGS = {"article", "main"}
+HIT_TAGS = {"form"}
+NAMES_IGNORED = {"html", "body"} | CONTENT_TAGS
+HEAD_TAGS = {"base", "head", "html", "link", "meta", "noscript", "script", "style", "template", "title"}  # all others end an open head
 BLOCK_TAGS = {
     "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre",
@@ -65,7 +73,8 @@ CLOSED_BY_BLOCK = {"p"}
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+)))?")
+_NAMING = {"class", "id", "role"}
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -80,6 +89,9 @@ class Token:
     inside: bool
     breaks: bool = False
     spaces: bool = False
+    hit: int = -1  # the innermost hit around it, itself included
+    content: int = -1  # the innermost article or main around it
+    edge: bool = False  # a tag of the hit itself
 
 
 @dataclass
@@ -88,28 +100,43 @@ class _Open:
     kind: str
     dropped: bool
     inside: bool
+    hit: int = -1
+    content: int = -1
+    edge: bool = False
+
+
+@dataclass
+class Outline:
+    """The hit around each hit (-1 for none), the article or main around each, and the hit around each of those."""
+
+    hits: list[int] = field(default_factory=list)
+    contents: list[int] = field(default_factory=list)
+    content_hits: list[int] = field(default_factory=list)
 
 
 def _dropped_by_name(attributes: str) -> bool:
-    for found in _NAMES.finditer(attributes):
-        value = next(v for v in found.groups() if v is not None) if any(g is not None for g in found.groups()) else ""
-        if not DROPPED_NAMES.isdisjoint(re.split(r"[\s_-]+", value.lower())):
-            return True
+    for found in _ATTRIBUTE.finditer(attributes):
+        if found[1].lower() in _NAMING:
+            value = found[2] or found[3] or found[4] or ""
+            if not DROPPED_NAMES.isdisjoint(re.split(r"[\s_-]+", value.lower())):
+                return True
     return False
 
 
-def tokenize(page: str) -> Iterator[Token]:
-    """Tags and texts of a page in order."""
+def _tokens(page: str, outline: Outline) -> Iterator[Token]:
+    """Tags and texts in order, ``dropped`` without regard to hits; what holds what is noted in ``outline``."""
     stack: list[_Open] = [_Open("", "", False, False)]
     at, end = 0, len(page)
 
     def text(start: int, stop: int) -> Iterator[Token]:
         if stop > start:
             value = entities.unescape(page[start:stop])
+            if stack[-1].name == "head" and value.strip(" \t\n\x0b\x0c\r"):
+                stack.pop()
             words = len(_SPACE.sub(" ", value).split(" ")) - value.startswith(tuple(" \t\n\x0b\x0c\r")) - value.endswith(tuple(" \t\n\x0b\x0c\r"))
             top = stack[-1]
             block = next((o for o in reversed(stack) if o.name in BLOCK_TAGS or not o.name), top)
-            yield Token("word@" + block.kind, value, max(words, 0) if value.strip(" \t\n\x0b\x0c\r") else 0, top.dropped, top.inside)
+            yield Token("word@" + block.kind, value, max(words, 0) if value.strip(" \t\n\x0b\x0c\r") else 0, top.dropped, top.inside, hit=top.hit, content=top.content)
 
     while at < end:
         found = _TOKEN.search(page, at)
@@ -127,8 +154,12 @@ def tokenize(page: str) -> Iterator[Token]:
                 while stack[-1].name != name:
                     stack.pop()
                 top = stack.pop()
-            yield Token("</" + name, None, 0, top.dropped, stack[-1].inside and top.inside, name in BLOCK_TAGS, name in SPACE_TAGS)
+            own = top.edge and top.name == name
+            yield Token("</" + name, None, 0, top.dropped, stack[-1].inside and top.inside, name in BLOCK_TAGS, name in SPACE_TAGS, top.hit, top.content, own)
             continue
+        if stack[-1].name == "head" and name not in HEAD_TAGS:
+            stack.pop()
+            top = stack[-1]
         if name in BLOCK_TAGS:
             while stack[-1].name in CLOSED_BY_BLOCK:
                 stack.pop()
@@ -138,16 +169,72 @@ def tokenize(page: str) -> Iterator[Token]:
                         del stack[i:]
                     break
             top = stack[-1]
-        drop = top.dropped or name in DROPPED_TAGS or (name in DROPPED_OUTSIDE_ARTICLE and not top.inside) or _dropped_by_name(found[3])
+        drop = top.dropped or name in DROPPED_TAGS or (name in DROPPED_OUTSIDE_ARTICLE and not top.inside)
         inside = top.inside or name in CONTENT_TAGS
-        yield Token("<" + name, None, 0, drop, top.inside, name in BLOCK_TAGS, name in SPACE_TAGS)
+        hit, content = top.hit, top.content
+        edge = not drop and (name in HIT_TAGS or (name not in NAMES_IGNORED and _dropped_by_name(found[3])))
+        if edge:
+            outline.hits.append(hit)
+            hit = len(outline.hits) - 1
+        if name in CONTENT_TAGS:
+            outline.contents.append(content)
+            outline.content_hits.append(hit)
+            content = len(outline.contents) - 1
+        yield Token("<" + name, None, 0, drop, top.inside, name in BLOCK_TAGS, name in SPACE_TAGS, hit, content, edge)
         if name in RAW_TAGS:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
         elif name not in VOID_TAGS and not found[3].endswith("/"):
             outer = next((o.kind for o in reversed(stack) if o.name in BLOCK_TAGS and o.name not in CONTENT_TAGS), "")
             kind = outer.split("<")[0] if name in CONTENT_TAGS else f"{name}<{outer.split('<')[0]}"
-            stack.append(_Open(name, kind, drop, inside))
+            stack.append(_Open(name, kind, drop, inside, hit, content, edge))
+
+
+def _held(parents: list[int], own: list[int]) -> list[int]:
+    """Sums over each element and all that it holds; an element comes behind the one around it."""
+    sums = list(own)
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] >= 0:
+            sums[parents[i]] += sums[i]
+    return sums
+
+
+def _drop_hits(tokens: list[Token], hits: list[int], stay: set[int]) -> None:
+    """Drop what stands in a hit that does not stay."""
+    gone: list[bool] = []
+    for i, around in enumerate(hits):
+        gone.append(i not in stay or (around >= 0 and gone[around]))
+    for t in tokens:
+        t.dropped = t.dropped or (t.hit >= 0 and gone[t.hit])
+
+
+def tokenize(page: str, wide: bool = False) -> tuple[list[Token], bool]:
+    """Tags and texts of a page in order, and whether it has hits around more than half of the words; with ``wide`` those stay."""
+    outline = Outline()
+    tokens = list(_tokens(page, outline))
+    if not outline.hits:
+        return tokens, False
+    in_hits, in_contents, total = [0] * len(outline.hits), [0] * len(outline.contents), 0
+    for t in tokens:
+        if t.words and not t.dropped:
+            total += t.words
+            if t.hit >= 0:
+                in_hits[t.hit] += t.words
+            if t.content >= 0:
+                in_contents[t.content] += t.words
+    stay: set[int] = set()
+    held = _held(outline.contents, in_contents)
+    if any(held):
+        hit = outline.content_hits[held.index(max(held))]
+        while hit >= 0:
+            stay.add(hit)
+            hit = outline.hits[hit]
+    most = {i for i, n in enumerate(_held(outline.hits, in_hits)) if 2 * n > total} - stay
+    if wide:
+        for t in tokens:
+            t.edge = t.edge and t.hit in most
+    _drop_hits(tokens, outline.hits, stay | most if wide else stay)
+    return tokens, bool(most)
 
 
 @dataclass
@@ -181,8 +268,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The text of the best region: blocks with single spaces, joined by two line ends."""
-    tokens = list(tokenize(page or ""))
-    start, end = best_region([weights.of(t) for t in tokens])
+    tokens, wide = tokenize(page or "")
+    scores = [weights.of(t) for t in tokens]
+    start, end = best_region(scores)
+    if wide:
+        more, _ = tokenize(page or "", wide=True)
+        others = [-MAX_WEIGHT if t.edge and not t.dropped else weights.of(t) for t in more]
+        first, last = best_region(others)
+        if sum(scores[start:end]) < WIDE_SHARE * sum(others[first:last]):
+            tokens, start, end = more, first, last
     blocks: list[str] = []
     part: list[str] = []
 
@@ -207,7 +301,7 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 def count_kinds(page: str | None) -> Counter[tuple[str, bool]]:
     """How many tokens of each kind stand inside and outside the marked content; none for a page that marks none."""
-    tokens = list(tokenize(page or ""))
+    tokens, _ = tokenize(page or "")
     counts: Counter[tuple[str, bool]] = Counter()
     if any(t.inside for t in tokens):
         for t in tokens:
