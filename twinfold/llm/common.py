@@ -37,6 +37,11 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def extended(df: DataFrame, names: Iterable[str], added: str) -> StructType:
+    """The schema of some columns of ``df``, and ``added`` (DDL) behind them."""
+    return StructType([*df.select(*[F.col(f"`{c}`") for c in names]).schema.fields, *StructType.fromDDL(added).fields])
+
+
 def map_batches(
     df: DataFrame, build: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str, keep: Iterable[str] = ()
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from twinfold.llm import chat, decontaminate, mixing, quality_rules, secret_scan
+from twinfold.llm import centroids, chat, decontaminate, fill_middle, mixing, quality_rules, secret_scan
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,6 +178,65 @@ def _quality_rules() -> str:
     FROM judged"""
 
 
+def _fill_middle() -> str:
+    draws = ", ".join(f"('0x' || substr(digest, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    marks = [fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE]
+    marked = " OR ".join(f"contains(text, '{m}')" for m in marks)
+    p, s, m = (f"'{x}'" for x in marks)
+    return rf"""
+    WITH docs AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+    lines AS (SELECT *, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS units, {draws} FROM docs),
+    cuts AS (SELECT *, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM lines),
+    parts AS (
+      SELECT doc_id, text, len(units)::BIGINT AS n, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+             array_to_string(units[b + 1:], '') AS suffix,
+             CASE WHEN text = '' OR {marked} OR h3 % 100 >= {fill_middle.RATE} THEN 'plain'
+                  WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+      FROM cuts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || middle
+                  ELSE {s} || suffix || {p} || prefix || {m} || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts"""
+
+
+def _centroids() -> str:
+    """Every round in full, from the distances themselves."""
+    size, scale, count, seed = centroids.SIZE, centroids.SCALE, centroids.CENTROIDS, centroids.SEED
+    steps = []
+    for step in range(centroids.ROUNDS + 1):
+        steps.append(f"""
+    d{step} AS MATERIALIZED (
+      SELECT row, k, sum((x - c) * (x - c))::BIGINT AS d FROM items JOIN c{step} USING (i) GROUP BY row, k),
+    a{step} AS MATERIALIZED (
+      SELECT row, k, d FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY d, k) AS place FROM d{step}) WHERE place = 1)""")
+        if step < centroids.ROUNDS:
+            steps.append(f"""
+    m{step} AS (SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{step} JOIN items USING (row) GROUP BY k, i),
+    c{step + 1} AS MATERIALIZED (
+      SELECT k, i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{step} LEFT JOIN m{step} USING (k, i))""")
+    last = centroids.ROUNDS
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings
+      WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+    items AS MATERIALIZED (SELECT row, unnest(range(1, {size + 1})) AS i, unnest(v) AS x FROM kept),
+    seeds AS (
+      SELECT row, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k FROM kept),
+    c0 AS MATERIALIZED (SELECT k, i, x AS c FROM seeds JOIN items USING (row) WHERE k < {count}),
+    {",".join(steps)},
+    inertias AS (SELECT k, sum(d)::BIGINT AS cluster_inertia FROM a{last} GROUP BY k),
+    digests AS (SELECT k, sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY k)
+    SELECT vec_id, k::INT AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a{last}) AS inertia, centroid_sha256
+    FROM a{last} JOIN kept USING (row) JOIN inertias USING (k) JOIN digests USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_source_mixing": _mixing(),
@@ -186,4 +245,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": _decontamination(),
         "op8_secret_scan": _secrets(),
         "op10_quality_rules": _quality_rules(),
+        "op12_fill_middle": _fill_middle(),
+        "op13_centroids": _centroids(),
     }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import chat, chunk_dedup, decontaminate, html_main, mixing, near_dup, quality_bt, quality_rules, secret_scan, toxicity
+from twinfold.llm import (
+    centroids, chat, chunk_dedup, decontaminate, fill_middle, html_main, mixing, near_dup, packing, quality_bt, quality_rules, secret_scan, toxicity,
+)
 from twinfold.llm.common import documents, labels
 from twinfold.sources.tables import read_table
 
@@ -58,6 +60,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.unsigned_crc32(packing.packed(documents(spark, sf_dir)))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(documents(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(read_table(spark, f"{sf_dir}/embeddings.parquet", "vec_id"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_ranking": op1_quality_ranking,
@@ -70,4 +84,7 @@ def queries() -> dict[str, Query]:
         "op8_secret_scan": op8_secret_scan,
         "op9_toxicity": op9_toxicity,
         "op10_quality_rules": op10_quality_rules,
+        "op11_packing": op11_packing,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_centroids": op13_centroids,
     }
