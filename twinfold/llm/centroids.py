@@ -107,7 +107,8 @@ def _sums(state: DataFrame, count: int, width: int) -> tuple[np.ndarray, list[li
 
 def _moved(centroids: np.ndarray, sizes: np.ndarray, sums: list[list[int]]) -> np.ndarray:
     """Each centroid at the floor of its mean; one without vectors stays."""
-    return np.array([[s // int(n) for s in own] if n else list(c) for c, n, own in zip(centroids, sizes, sums)], dtype=np.int64)
+    moved = [[s // int(n) for s in own] if n else list(c) for c, n, own in zip(centroids, sizes, sums)]
+    return np.array(moved, dtype=np.int64).reshape(centroids.shape)
 
 
 def _checked(vectors: DataFrame) -> bool:
