@@ -14,34 +14,40 @@ handed through only where asked for.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from twinfold.llm.common import extended, map_batches, text_bytes
+from twinfold.llm.common import extended, map_batches
 from twinfold.session import stage
 
 LONGEST = 2048
 END = 1
 
-#: Words that a worker remembers, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 400_000, 64
+#: Bytes of words that a worker remembers.
+CACHED_BYTES = 32 << 20
 
-#: Bytes of a text that are split into words at a time, and of texts whose pieces leave in one batch.
-SEGMENT, BATCH = 1 << 20, 4 << 20
+#: A special token that parts words in the encoder, if the vocabulary has it, and the words between two of its calls.
+PART, GROUP = "<|endoftext|>", 100
+
+#: Bytes of texts, or characters of one long text, that are split into words at a time.
+BATCH = 8 << 20
 
 #: Counts by task and length up to which they are broadcast.
 BROADCAST_ROWS = 200_000
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def default_tokenizer() -> str:
@@ -51,54 +57,69 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Token ids of texts, as little-endian 32-bit numbers, by way of their words."""
+    """Token ids of texts by way of their words, in Arrow and numpy arrays: no object is made for a word that is known."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine already
         from tokenizers import Tokenizer
 
         self._encoder = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-
-    def _joined(self, parts: list[list[bytes]]) -> Iterator[bytes]:
-        """The ids of each list of words."""
-        if len(self._known) > CACHED:
-            self._known = {}
-        fresh = list({w for words in parts for w in words}.difference(self._known))
-        encoded = self._encoder.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        self._known.update(zip(fresh, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded)))
-        yield from (b"".join(map(self._known.__getitem__, words)) for words in parts)
-        for word in fresh:
-            if len(word) > CACHED_BYTES:
-                del self._known[word]
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text; one segment of a long text, or many short texts, are split into words at a time."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        rows: list[int] = []
-        parts: list[list[bytes]] = []
-        size = 0
-
-        def flush() -> None:
-            for row, found in zip(rows, self._joined(parts)):
-                out[row].append(found)
-
-        for row, text in enumerate(texts):
-            for part in segments(text or b""):
-                rows.append(row)
-                parts.append(part.split())
-                size += len(part)
-                if size >= SEGMENT:
-                    flush()
-                    rows, parts, size = [], [], 0
-        flush()
-        return [b"".join(found) for found in out]
-
-
-def segments(text: bytes) -> Iterator[bytes]:
-    """``text`` in parts of about ``SEGMENT`` bytes that end at white space."""
-    size, at = SEGMENT, 0
-    while len(text) - at > size:
-        space = _SPACE.search(text, at + size)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known = pa.array([], pa.large_string())
+        self._first = np.zeros(0, dtype=np.int64)  # where the ids of a known word begin, and how many there are
+        self._count = np.zeros(0, dtype=np.int64)
+        self._ids = np.zeros(0, dtype=np.uint32)
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has; words go through the encoder in groups, parted by a special token."""
+        part = self._encoder.token_to_id(PART)
+        plain = words.to_pylist()
+        grouped = part is not None and not pc.any(pc.match_substring(words, PART)).as_py()
+        texts = [PART.join([*plain[i : i + GROUP], ""]) for i in range(0, len(plain), GROUP)] if grouped else plain
+        encoded = [e.ids for e in self._encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        ids = np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(count.sum()))
+        if grouped:
+            parts = np.flatnonzero(ids == part)
+            count = np.diff(parts, prepend=-1) - 1
+            ids = np.delete(ids, parts)
+        return ids, count
+
+    def _learn(self, words: pa.Array) -> None:
+        fresh, count = self._encode(words)
+        self._known = pa.concat_arrays([self._known, words])
+        self._first = np.concatenate([self._first, len(self._ids) + np.cumsum(count) - count])
+        self._count = np.concatenate([self._count, count])
+        self._ids = np.concatenate([self._ids, fresh])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has. A null text has none."""
+        if self._known.nbytes > CACHED_BYTES:
+            self._forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten()
+        spot = pc.index_in(words, value_set=self._known)
+        at = pc.fill_null(spot, -1).to_numpy().astype(np.int64)
+        if spot.null_count:
+            unknown = words.filter(pc.is_null(spot))
+            fresh = pc.unique(unknown)
+            at[at < 0] = len(self._known) + pc.index_in(unknown, value_set=fresh).to_numpy()
+            self._learn(fresh)
+        count = self._count[at]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self._ids[np.repeat(self._first[at] - upto + count, count) + np.arange(total)]
+        ends = np.concatenate([[0], upto])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(ends)
+
+
+def segments(text: str) -> Iterator[str]:
+    """``text`` in parts of about ``BATCH`` characters that end at white space."""
+    at = 0
+    while len(text) - at > BATCH:
+        space = _SPACE.search(text, at + BATCH)
         if space is None:
             break
         yield text[at : space.end()]
@@ -117,16 +138,21 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in reversed(range(longest.bit_length())) if rest >> b & 1]
 
 
-def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``BATCH`` bytes, or one longer row."""
-    first = size = 0
-    for row, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= BATCH:
-            yield first, row + 1
-            first, size = row + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def _encoded(path: str, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids in a row, ids of each text, its end mark included) for about ``BATCH`` bytes of texts, or one longer text, at a time."""
+    words = _words(path)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = int(upto[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + BATCH, side="right")))
+        if last == first + 1 and upto[first] - before > BATCH:
+            ids = np.concatenate([words.ids(pa.array([part]))[0] for part in segments(texts[first].as_py())])
+            counts = np.array([len(ids)])
+        else:
+            ids, counts = words.ids(texts.slice(first, last - first))
+        yield first, np.insert(ids, np.cumsum(counts), END), counts + 1
+        first = last
 
 
 def _cut(path: str, longest: int, names: list[str], out: StructType):
@@ -139,14 +165,11 @@ def _cut(path: str, longest: int, names: list[str], out: StructType):
         target = to_arrow_schema(out)
         task = TaskContext.get().partitionId()
         seen = np.zeros(longest.bit_length(), dtype=np.int64)
-        end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            texts = text_bytes(batch, "text")
-            for first, last in _slices(texts):
-                ids = [found + end for found in _words(path).ids(texts[first:last])]
-                totals = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                cuts = [binary_lengths(int(n), longest) for n in totals]
-                row = np.repeat(np.arange(len(ids)), [len(c) for c in cuts])
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            for first, ids, totals in _encoded(path, column("text")):
+                cuts = [binary_lengths(n, longest) for n in totals.tolist()]
+                row = np.repeat(np.arange(len(totals)), [len(c) for c in cuts])
                 length = np.array([n for c in cuts for n in c], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 start = ends[:-1] - np.concatenate([[0], np.cumsum(totals)])[row]
@@ -155,9 +178,8 @@ def _cut(path: str, longest: int, names: list[str], out: StructType):
                     of, bit = np.flatnonzero(length == size), int(size).bit_length() - 1
                     rank[of] = seen[bit] + np.arange(len(of))
                     seen[bit] += len(of)
-                tokens = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
-                pieces = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tokens)
-                columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row + first)) for c in names]
+                pieces = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                columns = [column(c).take(pa.array(row + first)) for c in names]
                 columns += [pa.array(start), pa.array(length), pieces, pa.array(totals[row]), pa.array(np.full(len(row), task)), pa.array(rank)]
                 columns = [c.cast(target.field(i).type) for i, c in enumerate(columns)]
                 whole = pa.RecordBatch.from_arrays(columns, schema=target)
