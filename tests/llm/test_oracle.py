@@ -17,7 +17,7 @@ def test_query(spark, sf_dir, name):
 
 def test_all_are_registered():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
     assert set(SQL) <= set(names)

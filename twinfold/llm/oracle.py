@@ -118,9 +118,45 @@ def _either_case(regex: str) -> str:
     return re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", regex)
 
 
+def _private_keys(rank: int, kind: str) -> str:
+    """Spans of private keys by the positions of their BEGIN lines: this engine knows neither possessive repeats nor a look ahead.
+
+    What follows a BEGIN line, up to the next one, is measured in steps: headers, then all up to an END line, or else lines of base64. A mark
+    (U+E000) behind a run of base64 that ends its line stands in for the look ahead.
+    """
+    begin = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    gap = r"(?:[\x20\x09-\x0D]|\\+[nrt])*"
+    header = rf"{gap}[A-Z][A-Za-z0-9]*-[A-Za-z0-9-]*:\x20[^\r\n\\-]*(?:-[^\r\n\\-]+)*"
+    more = rf"(?:[\r\n]|\\+[nrt]){header}"
+    to_end = r"""^[A-Za-z0-9+/=\x20\x09-\x0D\\"''`,#>*|]*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"""
+    mark = "chr(57344)"
+    ended = r"""([A-Za-z0-9+/])([\x20\t"''`,]*(?:[\r\n\\]|$))"""
+    long_run = r"""(?:[\x20\t"''`]|[\r\n]|\\+[nrt]@?)*[A-Za-z0-9+/]{16,}(?:=+|@?)"""
+    line = r"""[\x20\t"''`+,#>*|@]*(?:[\r\n]|\\+[nr]@?)(?:[\x20\t"''`#>*|]|[\r\n]|\\+[nrt]@?)*[A-Za-z0-9+/]+(?:=+|@)"""
+    lines = rf"replace('^(?:{long_run}|{line})*', '@', {mark})"
+    return rf"""
+      SELECT row, {rank} AS rank, '{kind}' AS kind, start, start + length(found) + length(headers) + length(body) AS stop FROM (
+        SELECT *, CASE WHEN regexp_matches(rest, '{to_end}') THEN regexp_extract(rest, '{to_end}')
+                       ELSE replace(regexp_extract(regexp_replace(rest, '{ended}', '\1' || {mark} || '\2', 'g'), {lines}), {mark}, '') END AS body
+        FROM (
+          SELECT *, substr(tail, length(headers) + 1) || CASE WHEN last THEN '' ELSE '-' END AS rest FROM (
+            SELECT *, CASE WHEN all_headers = '' OR regexp_matches(substr(tail, length(all_headers) + 1), '^[\r\n\\]') THEN all_headers
+                           ELSE regexp_extract(all_headers, '^({header}(?:{more})*){more}$', 1) END AS headers
+            FROM (
+              SELECT row, begins[i] AS found, gaps[i + 1] AS tail, i = len(begins) AS last, regexp_extract(gaps[i + 1], '^(?:{header}(?:{more})*)?') AS all_headers,
+                     list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                     + coalesce(list_sum(list_transform(begins[1:i - 1], lambda x: length(x))), 0) AS start
+              FROM (SELECT *, unnest(range(1, len(begins) + 1)) AS i
+                    FROM (SELECT row, regexp_extract_all(text, '{begin}') AS begins, string_split_regex(text, '{begin}') AS gaps
+                          FROM docs WHERE contains(text, 'PRIVATE KEY-----')))))))"""
+
+
 def _secrets() -> str:
     parts = []
     for rank, rule in enumerate(secret_scan.RULES):
+        if rule.kind == "private_key":
+            parts.append(_private_keys(rank, rule.kind))
+            continue
         regex = _either_case(rule.regex).replace("'", "''")
         measured = f"regexp_extract(found, '{regex}', {rule.measured})"
         parts.append(f"""

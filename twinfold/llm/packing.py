@@ -42,7 +42,7 @@ CACHED_BYTES = 32 << 20
 PART, GROUP = "<|endoftext|>", 100
 
 #: Bytes of texts, or characters of one long text, that are split into words at a time.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 #: Counts by task and length up to which they are broadcast.
 BROADCAST_ROWS = 200_000

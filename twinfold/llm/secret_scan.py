@@ -36,9 +36,9 @@ class Rule:
     least: int = 1
 
 
-#: What may stand between the lines of a key: its headers; base64, line ends (real or spelled out) and quoting up to the END line; or, where
+#: What may stand between the lines of a key: its headers, in which no two hyphens meet; base64, line ends (real or spelled out) and quoting up to the END line; or, where
 #: that line is missing, whole lines of base64, and runs of it that are padded or have 16 characters. All possessive: no backtracking, no deep stack in Java.
-_KEY_HEADERS = r"""(?:(?:[\x20\x09-\x0D]|\\+[nrt])*+[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]*+:\x20[^\r\n\\]*+(?=[\r\n\\]))*+"""
+_KEY_HEADERS = r"""(?:(?:[\x20\x09-\x0D]|\\+[nrt])*+[A-Z][A-Za-z0-9]*+-[A-Za-z0-9-]*+:\x20[^\r\n\\-]*+(?:-[^\r\n\\-]++)*+(?=[\r\n\\]))*+"""
 _KEY_TO_END = r"""[A-Za-z0-9+/=\x20\x09-\x0D\\"'`,#>*|]*+-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"""
 _KEY_LINES = (
     r"""(?:(?:[\x20\t"'`]|[\r\n]|\\+[nrt])*+[A-Za-z0-9+/]{16,}+=*+"""
