@@ -52,6 +52,30 @@ def test_near_duplicates(spark, folder):
     assert kept == [i for i, r in enumerate(roots) if i == r]
 
 
+def test_no_text_goes_without_a_copy_that_stays(spark, folder):
+    a, b, c = plain_text(1, 80), plain_text(2, 80), plain_text(3, 80)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, c), (None, c + " more"), (None, c), (4, a), (5, None), (5, ""), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    kept = [(r["doc_id"], r["text"]) for r in STAGES["near_duplicates"](spark, frame, folder).collect()]
+    named = [k for k in kept if k[0] is not None]
+    assert sorted(named, key=str) == sorted([(1, a), (2, b), (5, None), (5, "")], key=str)
+    unnamed = [k for k in kept if k[0] is None]
+    assert len(unnamed) == 2 and (None, None) in unnamed and {t for _, t in unnamed if t} <= {c, c + " more"}
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_many_rows_with_one_id(spark, folder, doc_id):
+    from twinfold.llm import near_dup
+
+    texts = [plain_text(5, 200) + f" tail{i}" for i in range(300)] + [plain_text(6, 200)] * 300
+    frame = spark.createDataFrame([(doc_id, t, "en", "s", 0) for t in texts], DOCUMENTS)
+    _, classes, _ = near_dup.similar_classes(frame, 5, 80)
+    sets = near_dup._sets_of(classes.select("node"), classes, frame, 5)
+    assert sets.select("node").distinct().count() == classes.count() == 301
+    assert sets.count() <= len(texts)  # a text meets its own class, not those of all rows with its id
+    assert STAGES["near_duplicates"](spark, frame, folder).count() == 2
+
+
 def test_decontamination(spark, folder):
     rows = [(i, plain_text(i) + " and " + (plain_text(2) if i == 5 else ""), "en", "s", 1) for i in range(8)]
     kept = {r["doc_id"] for r in STAGES["decontamination"](spark, spark.createDataFrame(rows, DOCUMENTS), folder).collect()}

@@ -93,7 +93,7 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (the set's digest), signature, sketch; the last four null for an empty set."""
+    """doc_id, text_hash, n_shingles, d1 and d2 (the set's digest), signature, sketch; the last four null for an empty set."""
 
     def build(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"n_shingles": [], "d1": [], "d2": [], "signature": [], "sketch": []}
@@ -109,7 +109,7 @@ def prints(docs: DataFrame, size: int) -> DataFrame:
         return out
 
     schema = "n_shingles bigint, d1 bigint, d2 bigint, signature binary, sketch binary"
-    return map_batches(docs.select("doc_id", "text"), build, schema, ["doc_id"])
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), build, schema, ["doc_id", "text_hash"])
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -263,8 +263,9 @@ def _candidates(posted: DataFrame, percent: int, least: int, choose: Callable[[_
 
 def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the full sets of some classes, made again from the text of one of their documents."""
-    wanted = nodes.join(classes.select("node", "first_id", "d1", "d2"), "node")
-    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")))
+    wanted = nodes.join(classes.select("node", "first.*", "d1", "d2"), "node")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
+    met = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +273,7 @@ def _sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
             digests = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for node, text, digest in zip(batch.column(0).to_pylist(), text_bytes(batch, "text"), digests):
                 found = shingle_set(text, size)
-                if len(found) and set_digest(found) == digest:  # another row may have the same id
+                if len(found) and set_digest(found) == digest:  # another text may have the same hash
                     ids.append(node)
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
@@ -284,6 +285,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     """``pairs`` with ``linked``: whether the full sets are similar enough."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stage(_sets_of(nodes, classes, docs, size), "sets")
+    if sets.count() > sets.select("node").distinct().count():  # a row that is there twice
+        sets = stage(sets.dropDuplicates(["node"]), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -298,11 +301,17 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return map_batches(met, build, "linked boolean", pairs.columns)
 
 
+_NAME = "struct(doc_id IS NULL AS unnamed, doc_id, text_hash)"
+
+
 def similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The prints of all documents, the classes of equal sets (node, d1, d2, first_id, ...), and (node, root) of the linked classes."""
+    """The prints of all documents, the classes of equal sets (node, d1, d2, first, ...), and (node, root) of the linked classes.
+
+    ``first`` names a row of the class: the smallest doc_id, null after all others, and of rows with that one the smallest hash of the text.
+    """
     made = stage(prints(docs, size), "prints")
     classes = made.where("n_shingles > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
+        F.min(F.expr(_NAME)).alias("first"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
     )
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -323,16 +332,20 @@ def similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per document.
+    """doc_id, n_shingles, component_id, kept, text_hash, stands; one row per document.
 
-    Documents are linked if 100 * intersection >= percent * union of their sets of ``size``-word shingles.
+    Documents are linked if 100 * intersection >= percent * union of their sets of ``size``-word shingles. ``stands`` marks the
+    rows of each group with one doc_id and one text, known by ``text_hash``: to keep these alone keeps one document of every group.
+    Rows without words are no group; all of them stand.
     """
     made, classes, found = similar_classes(docs, size, percent)
-    member = classes.select("d1", "d2", "node", "first_id").join(found, "node", "left")
-    smallest = member.where("root IS NOT NULL").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = member.join(smallest, "root", "left").select("d1", "d2", F.coalesce("least_id", "first_id").alias("component"))
-    met = made.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    member = classes.select("d1", "d2", "node", "first").join(found, "node", "left")
+    smallest = member.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
+    named = member.join(smallest, "root", "left").select("d1", "d2", F.coalesce("least", "first").alias("first"))
+    met = made.select("doc_id", "n_shingles", "text_hash", "d1", "d2").join(named, ["d1", "d2"], "left")
+    alone = F.col("n_shingles") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    stands = alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
     return met.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", stands.alias("stands")
     )

@@ -33,7 +33,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir))
+    return near_dup.near_duplicates(documents(spark, sf_dir)).drop("text_hash", "stands")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
