@@ -39,11 +39,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity of at least 0.8) the document with the smallest doc_id stays.
 
-    Rows that agree in doc_id and text are one document; documents without a doc_id stay.
+    Rows that agree in doc_id and text are one document; a doc_id with two texts is two, each judged by its own group. A document without a
+    doc_id stands behind those that have one. Documents without words stay.
     """
     plain, names = _neutral(docs)
-    gone = near_dup.near_duplicates(plain, SHINGLE, SIMILARITY).where("NOT kept").select("doc_id").where("doc_id IS NOT NULL")
-    known = plain.join(gone.distinct(), "doc_id", "left_anti").select(*plain.columns)
+    found = near_dup.near_duplicates(plain, SHINGLE, SIMILARITY).where("NOT stands")
+    gone = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    known = plain.join(gone, same, "left_anti").select(*plain.columns)
     return known.dropDuplicates(["doc_id", "text"]).toDF(*names)
 
 
