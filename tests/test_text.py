@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinfold.fixed_values import ENGLISH_STOP_WORDS, TEXT_CAP_CHARS
 from twinfold.functions import text as tx
 from twinfold.operators import text_similarity as ts
+from twinfold.operators.components import components
 from twinfold.operators.registry import corpus_scan, describe_text
 
 
@@ -111,12 +112,84 @@ def test_best_match_equals_a_refit_per_file(spark, seed, block):
     assert {r.id: (r.match_id, round(r.score, 6)) for r in few} == want
 
 
+def _groups_by_hand(texts, threshold):
+    """(group, members, links, match, similarity) of every text, from all pairs of texts."""
+    terms = [_terms(t) for t in texts]
+    idf, n = _fit(terms), len(texts)
+    score = {(a, b): round(_cosine(terms[a], terms[b], idf), 8) for a in range(n) for b in range(n) if a != b}
+    near = {a: [b for b in range(n) if a != b and score[a, b] >= threshold] for a in range(n)}
+    group = list(range(n))
+    for _ in range(n):
+        group = [min([group[a], *(group[b] for b in near[a])]) for a in range(n)]
+    best = {a: min(((-score[a, b], b) for b in near[a]), default=None) for a in range(n)}
+    return {
+        a: (group[a], group.count(group[a]), len(near[a]), best[a] and best[a][1], best[a] and round(-best[a][0], 6)) for a in range(n)
+    }
+
+
+@pytest.mark.parametrize("seed,threshold,block", [(11, 0.75, 1000), (12, 0.75, 3), (13, 0.5, 2), (14, 0.9, 5), (15, 0.3, 4)])
+def test_groups_equal_brute_force(spark, seed, threshold, block):
+    texts = [*_texts(seed, 70), "the of", "!", "w1 w2 w1 w2", "w2 w1"]
+    found = ts.near_dup_groups(_frame(spark, texts), threshold, block_rows=block).collect()
+    got = {r.id: (r.group_id, r.members, r.links, r.match_id, r.similarity) for r in found}
+    assert len(found) == len(texts) and got == _groups_by_hand(texts, threshold)
+
+
+@pytest.mark.parametrize("threshold,steps,block", [(0.75, (0.95, 0.85), 3), (0.5, (0.9, 0.6, 0.4), 1000), (0.75, (), 4)])
+def test_falling_thresholds_change_nothing(spark, threshold, steps, block):
+    texts = _texts(21, 70)
+    usual = ts.best_earlier_match(_frame(spark, texts), threshold).collect()
+    other = ts.best_earlier_match(_frame(spark, texts), threshold, steps=steps, block_rows=block).collect()
+    assert sorted(map(tuple, usual)) == sorted(map(tuple, other))
+    new, stored = _frame(spark, texts[50:], list(range(50, 70))), _frame(spark, texts[:50])
+    usual = ts.best_match(new, stored, threshold, steps=()).collect()
+    assert usual and sorted(map(tuple, usual)) == sorted(map(tuple, ts.best_match(new, stored, threshold, steps=steps, block_rows=block).collect()))
+
+
+def _family(m, others):
+    """``m`` texts of one template, and texts that share one rare word with it but are not like it."""
+    template = " ".join(f"tpl{i}" for i in range(200))
+    made = [f"{template} own{i}" for i in range(m)]
+    return made + [f"tpl{i % 40} " + " ".join(f"x{i}y{k}" for k in range(12)) for i in range(others)]
+
+
+def test_a_template_leaves_rows_in_proportion(spark):
+    texts = _family(120, 80)
+    words = ts.word_table(_frame(spark, texts))
+    vectors, _ = ts.corpus_vectors(words, F.lit(len(texts)))
+    asking = vectors.withColumn("asks", F.lit(True))
+    found = ts.links_within(asking, 0.75, 50)
+    assert found.agg(F.sum("links")).first()[0] == 120 * 119
+    assert found.count() < 6 * len(texts)  # a row for each text and unit, none for pairs
+    tied = found.where("tied IS NOT NULL").count()
+    assert 119 <= tied <= 6 * 120
+    groups = ts.near_dup_groups(_frame(spark, texts), block_rows=50).collect()
+    assert {(r.group_id, r.members, r.links) for r in groups if r.id < 120} == {(0, 120, 119)}
+    assert all((r.group_id, r.members, r.links, r.match_id) == (r.id, 1, 0, None) for r in groups if r.id >= 120)
+
+
+def test_a_found_match_asks_no_more(spark):
+    """What a text has found at a high threshold is final: the rounds below score no pair for it."""
+    texts = _family(60, 20) + ["alpha beta gamma delta eps zeta", "alpha beta gamma delta eps eta"]
+    words = ts.word_table(_frame(spark, texts))
+    vectors, _ = ts.corpus_vectors(words, F.lit(len(texts)))
+    scored = lambda rows, level: ts.links_within(rows, level, 1000).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    asking = vectors.withColumn("asks", F.lit(True))
+    first = scored(asking, 0.9)
+    matched = [r.id for r in ts.best_of(ts.links_within(asking, 0.9, 1000), "before").select("id").collect()]
+    assert first == 60 * 59 // 2 and len(matched) == 59
+    rest = scored(vectors.withColumn("asks", ~F.col("id").isin(matched)), 0.75)
+    assert rest <= 3 and scored(asking, 0.75) >= first
+
+
 def test_empty_corpus_and_empty_vocabulary(spark):
     one = _frame(spark, ["alpha beta gamma"])
     none = _frame(spark, ["x"]).where("false")
     assert ts.best_match(one, none).count() == 0
     assert ts.best_match(_frame(spark, ["the of a !"]), one).count() == 0
     assert ts.near_dup_pairs(_frame(spark, ["the of", "a b c", "  "])).count() == 0
+    assert ts.near_dup_groups(none).count() == 0
+    assert [tuple(r) for r in ts.near_dup_groups(_frame(spark, ["the of"])).collect()] == [(0, 0, 1, 0, None, None)]
 
 
 def test_score_at_the_threshold_counts(spark):
@@ -156,3 +229,17 @@ def test_only_text_types_are_read(spark):
     rows = [(1, "txt", "Some Text"), (2, "mp4", "Some Text"), (3, "md", " ")]
     obs = spark.createDataFrame(rows, "id long, file_type string, content string").withColumn("download_time", F.lit(0))
     assert [r.id for r in corpus_scan(describe_text(obs)).collect()] == [1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (7, 9), (9, 7)]
+    root = {n: n for pair in links for n in pair}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {a for a, b in links if a == b and sum(a in pair for pair in links) == 1}
+    assert found == {n: r for n, r in root.items() if n not in alone}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -36,16 +36,17 @@ def _attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
 
 
 def lookup_join(
-    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, largest: int | None = None
+    rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str, largest: int | None = None, keep_weight: bool = False
 ) -> DataFrame:
     """Inner join of many ``rows`` with a ``table`` that has one row per ``key``, balanced whatever the keys hold.
 
     ``weight`` is a column of ``table``: how many of ``rows`` carry the key. ``spread`` is a column of ``rows`` with
     many values. ``largest`` is the largest weight, where the caller knows it; a plain join does if that is small.
+    ``keep_weight`` hands the weight through.
     """
-    kept = [c for c in table.columns if c not in (key, weight)]
+    kept = [c for c in table.columns if c != key and (keep_weight or c != weight)]
     if largest is not None and largest <= BLOCK_ROWS:
-        return rows.join(table.drop(weight), key).select(*rows.columns, *kept)
+        return rows.join(table.select(key, *kept), key).select(*rows.columns, *kept)
     joined = _attach(rows, table, [key], weight, table.agg(F.sum(weight)).scalar(), spread)
     return joined.where(F.col("_row").isNotNull()).select(*rows.columns, *[F.col(f"_row.{c}") for c in kept])
 

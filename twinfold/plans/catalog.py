@@ -160,6 +160,7 @@ def queries() -> dict[str, Query]:
         "tfidf_norms": _tfidf_norms,
         "text_best_match": _best_match,
         "near_dup_pairs": lambda s, d: ts.near_dup_pairs(v.corpus(s, d)),
+        "near_dup_groups": lambda s, d: ts.near_dup_groups(v.corpus(s, d)),
         "text_dup_alerts": _text_alerts,
         # images and videos
         "vector_fingerprint": lambda s, d: v.vectors(s, d).select("vec_id", "bits", to_hex(F.col("bits")).alias("hex")),

@@ -370,6 +370,22 @@ SELECT q AS new_id""",
     )
 
 
+def _near_dup_groups() -> str:
+    """All pairs of texts, and who is reached from whom over them."""
+    return _sql("SELECT groups", "cosine", "corpus").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "\nSELECT groups",
+        """,
+edges AS MATERIALIZED (SELECT a, b, score FROM cosine UNION ALL SELECT b, a, score FROM cosine),
+reach AS (SELECT id AS a, id AS b FROM corpus UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+grouped AS (SELECT a AS id, min(b) AS group_id, count(*) AS members FROM reach GROUP BY a),
+counted AS (SELECT a AS id, count(*) AS links FROM edges GROUP BY a),
+best AS (SELECT a AS id, b AS match_id, round(score, 6) AS similarity FROM edges QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)
+SELECT id, group_id, members, coalesce(links, 0) AS links, match_id, similarity
+FROM grouped LEFT JOIN counted USING (id) LEFT JOIN best USING (id)""",
+        1,
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     first_half = "(SELECT * FROM obs, cut WHERE download_time < cut)"
     known = f"SELECT * FROM {first_half} QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY download_time, id) = 1"
@@ -430,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT a AS id_a, b AS id_b, round(score, 6) AS similarity, x.copies AS copies_a, y.copies AS copies_b
                FROM cosine JOIN bag x ON x.id = a JOIN bag y ON y.id = b
                WHERE x.id = x.head AND y.id = y.head""", "cosine", "bag"),
+        "near_dup_groups": _near_dup_groups(),
         "text_dup_alerts": _sql(
             """SELECT d.id AS new_id, downloaded_by AS alert_for, 'text_similar' AS duplicate_type, round(score, 6) AS similarity,
                  file_name AS new_file_name, file_path AS new_file_path, 'db_id:' || a AS original_file, '' AS original_path,
