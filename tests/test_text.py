@@ -127,23 +127,23 @@ def _groups_by_hand(texts, threshold):
     }
 
 
-@pytest.mark.parametrize("seed,threshold,block", [(11, 0.75, 1000), (12, 0.75, 3), (13, 0.5, 2), (14, 0.9, 5), (15, 0.3, 4)])
-def test_groups_equal_brute_force(spark, seed, threshold, block):
+@pytest.mark.parametrize("seed,threshold,level,block", [(11, 0.75, 0.95, 1000), (12, 0.75, 0.6, 3), (13, 0.5, 0.5, 2), (15, 0.3, 0.2, 4)])
+def test_groups_equal_brute_force(spark, seed, threshold, level, block):
     texts = [*_texts(seed, 70), "the of", "!", "w1 w2 w1 w2", "w2 w1"]
-    found = ts.near_dup_groups(_frame(spark, texts), threshold, block_rows=block).collect()
+    found = ts.near_dup_groups(_frame(spark, texts), threshold, level=level, block_rows=block, link_rows=block).collect()
     got = {r.id: (r.group_id, r.members, r.links, r.match_id, r.similarity) for r in found}
     assert len(found) == len(texts) and got == _groups_by_hand(texts, threshold)
 
 
-@pytest.mark.parametrize("threshold,steps,block", [(0.75, (0.95, 0.85), 3), (0.5, (0.9, 0.6, 0.4), 1000), (0.75, (), 4)])
-def test_falling_thresholds_change_nothing(spark, threshold, steps, block):
+@pytest.mark.parametrize("threshold,level,block", [(0.75, 0.5, 3), (0.5, 0.9, 1000), (0.75, 0.3, 4)])
+def test_families_change_no_match(spark, threshold, level, block):
     texts = _texts(21, 70)
-    usual = ts.best_earlier_match(_frame(spark, texts), threshold).collect()
-    other = ts.best_earlier_match(_frame(spark, texts), threshold, steps=steps, block_rows=block).collect()
-    assert sorted(map(tuple, usual)) == sorted(map(tuple, other))
+    usual = ts.best_earlier_match(_frame(spark, texts), threshold, level=1.01).collect()  # no family at all
+    other = ts.best_earlier_match(_frame(spark, texts), threshold, level=level, block_rows=block, link_rows=block).collect()
+    assert usual and sorted(map(tuple, usual)) == sorted(map(tuple, other))
     new, stored = _frame(spark, texts[50:], list(range(50, 70))), _frame(spark, texts[:50])
-    usual = ts.best_match(new, stored, threshold, steps=()).collect()
-    assert usual and sorted(map(tuple, usual)) == sorted(map(tuple, ts.best_match(new, stored, threshold, steps=steps, block_rows=block).collect()))
+    usual = ts.best_match(new, stored, threshold, level=1.01).collect()
+    assert usual and sorted(map(tuple, usual)) == sorted(map(tuple, ts.best_match(new, stored, threshold, level=level, block_rows=block, link_rows=block).collect()))
 
 
 def _family(m, others):
@@ -153,33 +153,41 @@ def _family(m, others):
     return made + [f"tpl{i % 40} " + " ".join(f"x{i}y{k}" for k in range(12)) for i in range(others)]
 
 
+def _vectors(spark, texts):
+    return ts.corpus_vectors(ts.word_table(_frame(spark, texts)), F.lit(len(texts)))
+
+
 def test_a_template_leaves_rows_in_proportion(spark):
     texts = _family(120, 80)
-    words = ts.word_table(_frame(spark, texts))
-    vectors, _ = ts.corpus_vectors(words, F.lit(len(texts)))
-    asking = vectors.withColumn("asks", F.lit(True))
-    found = ts.links_within(asking, 0.75, 50)
+    vectors, largest = _vectors(spark, texts)
+    assert ts.nearest_leaders(vectors, 0.9).count() <= len(texts)
+    families = ts._families(vectors, 0.9)
+    assert families.count() == 120 and families.select("family").distinct().count() == 1
+    found = ts.links_within(vectors, families, 0.75, 50)
     assert found.agg(F.sum("links")).first()[0] == 120 * 119
-    assert found.count() < 6 * len(texts)  # a row for each text and unit, none for pairs
-    tied = found.where("tied IS NOT NULL").count()
-    assert 119 <= tied <= 6 * 120
-    groups = ts.near_dup_groups(_frame(spark, texts), block_rows=50).collect()
+    assert found.count() < 8 * 120  # a row for each text and unit, none for pairs
+    assert 119 <= found.where("tied IS NOT NULL").count() <= 4 * 120
+    groups = ts.near_dup_groups(_frame(spark, texts), level=0.9, link_rows=50).collect()
     assert {(r.group_id, r.members, r.links) for r in groups if r.id < 120} == {(0, 120, 119)}
     assert all((r.group_id, r.members, r.links, r.match_id) == (r.id, 1, 0, None) for r in groups if r.id >= 120)
 
 
-def test_a_found_match_asks_no_more(spark):
-    """What a text has found at a high threshold is final: the rounds below score no pair for it."""
+def test_a_family_leaves_no_pairs_to_the_join(spark):
+    """What a text has found in its family is the least that it looks for among all others."""
     texts = _family(60, 20) + ["alpha beta gamma delta eps zeta", "alpha beta gamma delta eps eta"]
-    words = ts.word_table(_frame(spark, texts))
-    vectors, _ = ts.corpus_vectors(words, F.lit(len(texts)))
-    scored = lambda rows, level: ts.links_within(rows, level, 1000).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    asking = vectors.withColumn("asks", F.lit(True))
-    first = scored(asking, 0.9)
-    matched = [r.id for r in ts.best_of(ts.links_within(asking, 0.9, 1000), "before").select("id").collect()]
-    assert first == 60 * 59 // 2 and len(matched) == 59
-    rest = scored(vectors.withColumn("asks", ~F.col("id").isin(matched)), 0.75)
-    assert rest <= 3 and scored(asking, 0.75) >= first
+    vectors, largest = _vectors(spark, texts)
+    families = ts._families(vectors, 0.9)
+    known = ts.best_of(ts.partners(ts.links_within(vectors, families, 0.75), "before"))
+    assert known.count() == 59
+
+    def pairs(families, known):
+        asking = ts._asking(vectors, families, known, 0.75, 0.7)
+        sides = ts.prefix_rows(asking.drop("bar"), "a", 0.7, extra=["family"]), ts.prefix_rows(asking, "b", 0.7, extra=["family", "need", "bar"])
+        apart = (F.col("arrived_a") < F.col("arrived_b")) & (F.col("family_a") != F.col("family_b"))
+        return ts.candidate_pairs(*sides, apart, 0.75, 0.7, 20_000, largest, "b").count()
+
+    assert pairs(families, known) <= 3
+    assert pairs(families.where("false"), known.where("false")) >= 60 * 59 // 2
 
 
 def test_empty_corpus_and_empty_vocabulary(spark):
