@@ -1,6 +1,7 @@
 """Folder scan."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
@@ -61,4 +62,73 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
     assert {r.file_name: (r.file_hash, r.file_size) for r in rows} == {
         n: (hashlib.sha256(d).hexdigest(), len(d)) for n, d in contents.items()
     }
-    assert {r.file_name: r.extracted_text for r in rows} == {"a.txt": None, "b b%20.mp4": None, "c.txt": "small"}
+    texts = {r.file_name: r.extracted_text for r in rows}
+    assert texts == {"a.txt": "hello  world " * 9, "b b%20.mp4": None, "c.txt": "small"}
+
+
+def test_text_of_a_file_larger_than_a_cell(spark, tmp_path, monkeypatch):
+    """Its first 200,000 characters, whatever bytes they take; the digest is that of the whole file."""
+    text = "é日 word " * 60_000
+    (tmp_path / "large.txt").write_text(text)
+    row = files_module.describe_files(files_module.scan_folder(spark, str(tmp_path)), F.lit("ann"), cell_bytes=1000).first()
+    assert row.file_hash == hashlib.sha256(text.encode()).hexdigest()
+    assert row.extracted_text == text[:200_000]
+
+
+def test_empty_and_unreadable_files(spark, tmp_path):
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "empty_too.mp4").write_bytes(b"")
+    (tmp_path / ".half-written").write_bytes(b"x")
+    listed = files_module.scan_folder(spark, str(tmp_path)).collect()
+    gone = spark.createDataFrame([(f"{tmp_path}/gone.txt", listed[0].modificationTime, 5)], "path string, modificationTime timestamp, length long")
+    rows = files_module.describe_files(files_module.scan_folder(spark, str(tmp_path)).unionByName(gone), F.lit("ann")).collect()
+    assert {(r.file_name, r.file_hash, r.file_size, r.extracted_text) for r in rows} == {
+        (n, hashlib.sha256(b"").hexdigest(), 0, None) for n in ("empty.txt", "empty_too.mp4")
+    }
+    read = files_module._read_by_path(gone, 100)
+    assert [r.path for r in files_module.unread_files(read).collect()] == [f"{tmp_path}/gone.txt"]
+    assert [r.new_file_name for r in exact_dup_alerts(scan_observations(spark, str(tmp_path), "ann")).collect()] != []
+    (tmp_path / "none").mkdir()
+    assert files_module.scan_folder(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_stream_sees_every_file_once(spark, tmp_path):
+    """Files with old times that come late, empty files, a restart, a limit per batch; the log says what was handed out."""
+    import os
+
+    folder, seen = tmp_path / "in", []
+    folder.mkdir()
+
+    def drop(name, data, time):
+        (folder / name).write_bytes(data)
+        os.utime(folder / name, (time, time))
+
+    def run(checkpoint, most=0):
+        take = lambda rows, batch: seen.append([os.path.basename(r.path) for r in rows.orderBy("modificationTime", "path").collect()])
+        stream = files_module.watch_folder(spark, str(folder), f"{checkpoint}/listing", most)
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start().awaitTermination()
+
+    drop("b.txt", b"b", 2_000), drop("a.txt", b"", 2_000), drop(".c", b"hidden", 1)
+    run(tmp_path / "one")
+    assert seen == [["a.txt", "b.txt"]]
+    run(tmp_path / "one")
+    assert len(seen) == 1
+    drop("late.txt", b"late", 1_000), drop("b.txt", b"written again", 3_000)
+    run(tmp_path / "one")
+    assert seen[1:] == [["late.txt"]]
+    for _ in range(3):
+        run(tmp_path / "two", 2)
+    assert sorted(n for batch in seen[2:] for n in batch) == ["a.txt", "b.txt", "late.txt"]
+    entries = [json.loads(p.read_text()) for p in sorted((tmp_path / "two" / "listing").glob("*.json"))]
+    assert [[os.path.basename(f[0]) for f in e] for e in entries] == [["late.txt", "a.txt"], ["b.txt"]]
+
+
+def test_a_large_listing_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from twinfold.sources import folder
+
+    for i in range(25):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    monkeypatch.setattr(folder, "TASK_FILES", 10)
+    parts = folder._FolderReader(folder._Listing({"path": str(tmp_path)})).partitions()
+    assert [len(p.files) for p in parts] == [10, 10, 5]
+    assert len({f[0] for p in parts for f in p.files}) == 25

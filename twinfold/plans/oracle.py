@@ -28,7 +28,7 @@ from twinfold.fixed_values import (
     WORD_CHARS,
 )
 from twinfold.plans import catalog as c
-from twinfold.plans.streams import BATCHES
+from twinfold.plans.streams import BATCHES, EMPTY_FILES
 from twinfold.plans.views import EPOCH, FILE_TYPES, QUESTIONS
 from twinfold.streaming.monitor import ID_SPACE
 
@@ -446,6 +446,15 @@ def oracle_sql() -> dict[str, str]:
             """SELECT a AS id_a, b AS id_b, round(score, 6) AS similarity, x.copies AS copies_a, y.copies AS copies_b
                FROM cosine JOIN bag x ON x.id = a JOIN bag y ON y.id = b
                WHERE x.id = x.head AND y.id = y.head""", "cosine", "bag"),
+        "folder_files": _sql(
+            f"""SELECT file_name, file_hash, file_size, file_type,
+                       md5(CASE WHEN file_type IN ({_list(TEXT_EXTENSIONS)}) AND regexp_matches(content, '[^{SPACE_CHARS}]')
+                                THEN {_clean(_newlines('content'))} END) AS text_digest, 'watcher' AS downloaded_by FROM obs
+                UNION ALL SELECT unnest([{_list(EMPTY_FILES)}]), sha256(''), 0, unnest([{_list(n.rsplit(".", 1)[1] for n in EMPTY_FILES)}]), NULL, 'watcher'""",
+            "obs"),
+        "folder_registry": f"""SELECT file_hash, any_value(file_size) AS file_size, count(*) AS files FROM (
+              SELECT sha256(text) AS file_hash, strlen(text) AS file_size FROM documents
+              UNION ALL SELECT sha256(''), 0 FROM range({len(EMPTY_FILES)})) GROUP BY file_hash""",
         "near_dup_groups": _near_dup_groups(),
         "text_dup_alerts": _sql(
             """SELECT d.id AS new_id, downloaded_by AS alert_for, 'text_similar' AS duplicate_type, round(score, 6) AS similarity,
