@@ -205,6 +205,7 @@ def queries() -> dict[str, Query]:
         # streams
         "monitor_alerts": st.monitor_alerts,
         "monitor_registry": st.monitor_registry,
+        "stream_exact_alerts": st.stream_exact_alerts,
         "folder_files": st.folder_files,
         "folder_registry": st.folder_registry,
         "alert_feed": lambda s, d: st.alert_feed_delivered(s, d, ALERT_USER),

@@ -446,6 +446,7 @@ def oracle_sql() -> dict[str, str]:
             """SELECT a AS id_a, b AS id_b, round(score, 6) AS similarity, x.copies AS copies_a, y.copies AS copies_b
                FROM cosine JOIN bag x ON x.id = a JOIN bag y ON y.id = b
                WHERE x.id = x.head AND y.id = y.head""", "cosine", "bag"),
+        "stream_exact_alerts": _exact_alerts("SELECT * FROM obs", _FIRST, "obs"),
         "folder_files": _sql(
             f"""SELECT file_name, file_hash, file_size, file_type,
                        md5(CASE WHEN file_type IN ({_list(TEXT_EXTENSIONS)}) AND regexp_matches(content, '[^{SPACE_CHARS}]')

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from twinfold.operators.alerts import alerts_pending, current_status, stats, status_change
 from twinfold.session import stage
+from twinfold.streaming.first_seen import alert_tally
 from twinfold.streaming.store import Store
 
 
@@ -58,10 +60,24 @@ def current_stats(store: Store) -> DataFrame:
 def stats_feed(
     store: Store, deliver: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Hand the statistics to ``deliver`` whenever the registry, the alerts or their status have changed."""
-    changes = [store.follow(t).select(F.lit(t).alias("changed")) for t in ("downloads", "alerts", "status_log")]
-    merged = changes[0].union(changes[1]).union(changes[2])
+    """Hand the statistics to ``deliver`` whenever the registry, the alerts or their status have changed.
+
+    A batch reads its own rows only: the state store knows each alert's status and says what its changes add, and the totals are those of the
+    batch before and that.
+    """
+    number = lambda value: F.lit(value).cast("bigint")
+    files = store.follow("downloads").select(number(1).alias("files"), number(0).alias("alerts"), number(0).alias("pending"))
+    tally = alert_tally(store.follow("alerts").select("id"), store.follow("status_log"))
+    merged = files.unionByName(tally.select(number(0).alias("files"), "alerts", "pending"))
+    writer = f"statistics-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    names = ["files", "alerts", "pending"]
+
+    def show(rows: DataFrame, batch: int) -> None:
+        if batch:
+            rows = rows.unionByName(store.spark.read.parquet(store.path("totals", writer, batch - 1)).select(*names))
+        totals = store.write(rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]), "totals", writer, batch)
+        deliver(totals.select(F.col("files").alias("total_files"), F.col("alerts").alias("total_alerts"), "pending"), batch)
+
     return (
-        merged.writeStream.foreachBatch(lambda _, batch: deliver(current_stats(store), batch))
-        .option("checkpointLocation", checkpoint).queryName("statistics").trigger(**_trigger(every)).start()
+        merged.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint).queryName("statistics").trigger(**_trigger(every)).start()
     )
