@@ -352,6 +352,27 @@ def test_repeat_words_by_brute_force(spark):
         assert (got[i]["n_words"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(words), len(inside), len(lines) - len(set(lines)))
 
 
+def test_slow_and_selective_rules_take_their_places(spark):
+    """Rejections per cost: a cheap rule that rejects much comes first, a slow one that rejects little last; twice in a row."""
+    rows = [(i, plain_text(i, 300), i % 4) for i in range(200)]
+    counts = spark.createDataFrame(rows, "doc_id long, text string, k int").withColumn("n_words", F.lit(300))
+    slow = " + ".join(f"length(regexp_replace(text, '[a-m{chr(110 + i)}]+[n-z]', ''))" for i in range(6))
+    rules = (
+        quality_rules.Rule("slow_and_rare", f"{slow} < 0 OR k = 9"),
+        quality_rules.Rule("slow_and_common", f"{slow} < 0 OR k > 0"),
+        quality_rules.Rule("cheap_and_rare", "doc_id = 7"),
+        quality_rules.Rule("cheap_and_common", "k > 0"),
+    )
+    for _ in range(2):
+        order = quality_rules.measured_order(counts, rules, rows=4_000, rounds=2)
+        names = [rule.name for rule, _, _ in order]
+        assert names[0] == "cheap_and_common" and names[-1] == "slow_and_rare"
+        shares = {rule.name: share for rule, _, share in order}
+        assert shares == {"slow_and_rare": 0.0, "slow_and_common": 0.75, "cheap_and_rare": 0.005, "cheap_and_common": 0.75}
+        cost = {rule.name: seconds for rule, seconds, _ in order}
+        assert min(cost["slow_and_rare"], cost["slow_and_common"]) > 3 * max(cost["cheap_and_rare"], cost["cheap_and_common"])
+
+
 def test_cascade_order_changes_nothing(spark):
     texts = [plain_text(i, 70) for i in range(10)] + ["SHOUT " * 80, "ab ## $$ %% " * 40, "1 2 3 4 " * 50, "line one\n" * 60]
     counts = quality_rules.text_counts(_documents(spark, texts))
