@@ -17,12 +17,12 @@ HEADLINE = [
     "exact_dup_alerts", "exact_dup_alerts_registry", "registry_insert", "find_by_hash",
     "cross_user_pairs", "cross_user_one", "cross_user_two", "cross_user_totals", "duplicate_groups", "duplicate_report",
     "extract_text", "term_frequency", "idf_weights", "tfidf_norms",
-    "near_dup_pairs", "text_best_match", "text_dup_alerts",
+    "near_dup_pairs", "near_dup_groups", "text_best_match", "text_dup_alerts",
     "vector_fingerprint", "hamming_pairs", "video_fingerprints", "video_pairs",
     "list_all", "search_keyword", "search_type", "search_user", "search_dates", "search_size_min", "date_week", "preview_top20",
     "alert_status_current", "alerts_pending", "alerts_since", "stats", "alert_messages",
     "utterance_intents", "intent_counts", "utterance_routed",
-    "monitor_alerts", "alert_feed", "stats_feed",
+    "monitor_alerts", "stream_exact_alerts", "alert_feed", "stats_feed",
 ]
 
 
@@ -35,6 +35,9 @@ def main() -> None:
     start = time.perf_counter()
     views.downloads(spark, sf_dir)
     seconds = {"registry_build": round(time.perf_counter() - start, 3)}
+    start = time.perf_counter()
+    views.corpus(spark, sf_dir)
+    seconds["corpus_build"] = round(time.perf_counter() - start, 3)
     for name in names:
         start = time.perf_counter()
         catalog[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
