@@ -67,6 +67,32 @@ def test_cuts_cover_the_bits_and_the_threshold():
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1]
 
 
+def test_neighbours_are_listed_on_both_sides(spark):
+    wide = md.cut(10, 2)
+    assert [(p.width, p.radius, p.halves()) for p in wide] == [(32, 5, (3, 2)), (32, 4, (2, 2))]
+    assert sum(sum(p.mask_counts()) for p in wide) == 7076  # one side alone would list 284,274
+    row = spark.range(1).select(
+        F.size(md._neighbours(F.lit(5).cast("bigint"), wide, 0)).alias("a"), F.size(md._neighbours(F.lit(5).cast("bigint"), wide, 1)).alias("b")
+    ).first()
+    assert row.a + row.b == 7076 and row.b == 2 * 529
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_codes_meet_once_in_the_middle(spark, radius):
+    """A field of all 64 bits, so that the sign bit takes part: of all meeting points one is the first."""
+    part = md.Field(0, 64, radius)
+    one, other = part.halves()
+    rows = []
+    for bits in [(), (63,), (0, 63), (62, 63), (5, 9, 63), (1, 2, 3), (61, 62, 63)]:
+        if len(bits) <= radius:
+            b = sum(1 << x for x in bits)
+            near = {m for m in part.masks(one)} & {b ^ m for m in part.masks(other)}
+            rows += [(_signed(b), _signed(m)) for m in near]
+    df = spark.createDataFrame(rows, "b long, m long")
+    met = df.where(part.first_meeting(F.lit(0).cast("bigint"), F.col("b"), F.col("m"))).collect()
+    assert sorted(r.b for r in met) == sorted({b for b, _ in rows})
+
+
 def test_hex_and_back(spark):
     values = [0, 1, -1, -(1 << 63), (1 << 63) - 1, 123456789]
     df = spark.createDataFrame([(v,) for v in values], "b long").select("b", bt.to_hex(F.col("b")).alias("h"))

@@ -2,9 +2,10 @@
 
 Equal fingerprints are one row before any join, so a flood of copies costs nothing further. Candidates
 come from an exact multi-index join: the 64 bits are cut into fields, and if two fingerprints differ in at most
-tau bits, some field i differs in at most r_i bits as soon as the r_i + 1 add up to more than tau. One side
-lists its fields' neighbours within r_i, the other its plain fields, and equal values meet. Few wide fields
-list more neighbours and meet fewer strangers, so the number of fields depends on the number of codes.
+tau bits, some field i differs in at most r_i bits as soon as the r_i + 1 add up to more than tau. The radius r_i is
+split: one side lists its field's neighbours within the larger half of r_i, the other within the smaller half, and
+equal values meet in the middle. Few wide fields list more neighbours and meet fewer strangers, so the number of
+fields depends on the number of codes.
 """
 
 from __future__ import annotations
@@ -30,14 +31,29 @@ class Field(NamedTuple):
     width: int
     radius: int
 
-    def mask_count(self) -> int:
-        return sum(comb(self.width, n) for n in range(self.radius + 1))
+    def halves(self) -> tuple[int, int]:
+        """The radii of the two sides."""
+        return self.radius - self.radius // 2, self.radius // 2
 
-    def masks(self) -> list[int]:
+    def mask_counts(self) -> tuple[int, int]:
+        one, other = (sum(comb(self.width, n) for n in range(r + 1)) for r in self.halves())
+        return one, other
+
+    def masks(self, radius: int) -> list[int]:
         """All values of at most ``radius`` bits."""
-        return [
-            sum(1 << b for b in bits) for n in range(self.radius + 1) for bits in combinations(range(self.width), n)
-        ]
+        return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(self.width), n)]
+
+    def first_meeting(self, bits_a: Column, bits_b: Column, value: Column) -> Column:
+        """Whether ``value`` is the one meeting point that counts for two codes: a with the lowest of the bits in
+        which they differ, as many as the first side may change, set as in b."""
+        differ = self.of(bits_a.bitwiseXOR(bits_b))
+        changed = self.of(bits_a).bitwiseXOR(value)
+        rest = differ.bitwiseXOR(changed)
+        negative = F.coalesce(F.try_subtract(F.lit(0).cast("bigint"), rest), rest)  # the lowest number is its own negative
+        from_lowest = rest.bitwiseOR(negative)  # every bit from the lowest one of the rest up
+        taken = F.least(F.bit_count(differ), F.lit(self.halves()[0]))
+        only_differing = changed.bitwiseAND(differ) == changed
+        return only_differing & (F.bit_count(changed) == taken) & (changed.bitwiseAND(from_lowest) == 0)
 
     def of(self, bits: Column) -> Column:
         return field(bits, self.offset, self.width)
@@ -59,21 +75,18 @@ def best_cut(threshold: int, n_codes: int) -> list[Field]:
     """The cut with the least work: neighbours listed, plus pairs met if codes were spread evenly."""
 
     def work(parts: list[Field]) -> float:
-        listed = sum(p.mask_count() for p in parts)
-        met = sum(p.mask_count() / 2**p.width for p in parts) * n_codes
-        return (listed + met) if max(p.mask_count() for p in parts) <= _MAX_MASKS else float("inf")
+        counts = [p.mask_counts() for p in parts]
+        listed = sum(map(sum, counts))
+        met = sum(one * other / 2**p.width for p, (one, other) in zip(parts, counts)) * n_codes
+        return (listed + met) if max(map(max, counts)) <= _MAX_MASKS else float("inf")
 
     return min((cut(threshold, m) for m in range(1, min(threshold + 1, _BITS) + 1)), key=work)
 
 
-def _plain(bits: Column, parts: list[Field]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("field"), p.of(bits).alias("value")) for i, p in enumerate(parts)])
-
-
-def _neighbours(bits: Column, parts: list[Field]) -> Column:
+def _neighbours(bits: Column, parts: list[Field], side: int) -> Column:
     def around(i: int, part: Field) -> Column:
         value = part.of(bits)
-        masks = F.lit(part.masks()).cast("array<bigint>")
+        masks = F.lit(part.masks(part.halves()[side])).cast("array<bigint>")
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("field"), value.bitwiseXOR(m).alias("value")))
 
     return F.concat(*[around(i, p) for i, p in enumerate(parts)])
@@ -85,21 +98,25 @@ def code_pairs(
     """(bits_a, bits_b, distance): all two different codes within ``threshold``, each pair once.
 
     ``codes`` has distinct ``bits`` and is read several times, so it should be staged. A pair that meets in
-    several fields is kept in the first of them only, which the two codes alone decide, so nothing has to be
-    de-duplicated by a shuffle.
+    several fields, or at several values of one, is kept at the first of them only, which the two codes alone decide,
+    so nothing has to be de-duplicated by a shuffle.
     """
-    parts = cut(threshold, fields) if fields else best_cut(threshold, codes.count())
-    a = codes.select(F.col("bits").alias("bits_a"), F.inline(_neighbours(F.col("bits"), parts)))
-    b = codes.select(F.col("bits").alias("bits_b"), F.inline(_plain(F.col("bits"), parts)))
-    xor = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    met_before = F.lit(False)
+    n_codes = codes.count()
+    parts = cut(threshold, fields) if fields else best_cut(threshold, n_codes)
+    a = codes.select(F.col("bits").alias("bits_a"), F.inline(_neighbours(F.col("bits"), parts, 0)))
+    b = codes.select(F.col("bits").alias("bits_b"), F.inline(_neighbours(F.col("bits"), parts, 1)))
+    code_a, code_b = F.col("bits_a"), F.col("bits_b")
+    xor = code_a.bitwiseXOR(code_b)
+    met_before, first = F.lit(False), F.lit(False)
     for i, part in enumerate(parts):
         near = F.bit_count(part.of(xor)) <= part.radius
         met_before = met_before | ((F.col("field") > i) & near)
-    wanted = (F.col("bits_a") < F.col("bits_b")) & (F.bit_count(xor) <= threshold) & ~met_before
-    # a value's neighbours hold at most this many times the codes of the fullest value
-    held = largest_of(b.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "n")
-    largest = held * max(p.mask_count() for p in parts)
+        first = first | ((F.col("field") == i) & part.first_meeting(code_a, code_b, F.col("value")))
+    wanted = (code_a < code_b) & (F.bit_count(xor) <= threshold) & ~met_before & first
+    # a value's neighbours hold at most this many times the codes of the fullest value, and no more than all
+    plain = F.array(*[F.struct(F.lit(i).alias("field"), p.of(F.col("bits")).alias("value")) for i, p in enumerate(parts)])
+    held = largest_of(codes.select(F.inline(plain)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "n")
+    largest = min(n_codes, held * max(max(p.mask_counts()) for p in parts))
     met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows, largest)
     return met.select("bits_a", "bits_b", hamming(F.col("bits_a"), F.col("bits_b")).alias("distance"))
 
