@@ -128,8 +128,8 @@ def test_video_fingerprints(spark):
     assert found == {v: f for v, f in want.items() if f}
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_video_pairs_equal_all_pairs(spark, block):
+@pytest.mark.parametrize("block,threshold,wider", [(20_000, 10, 2), (3, 10, 2), (20_000, 10, 0), (20_000, 0, 1), (20_000, 4, 3)])
+def test_video_pairs_equal_all_pairs(spark, block, threshold, wider):
     """Clips of several lengths, many with one common opening frame."""
     rng = random.Random(9)
     lists = []
@@ -139,6 +139,7 @@ def test_video_pairs_equal_all_pairs(spark, block):
             base[0] = 0
         for _ in range(3):
             lists.append([c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 16))) if rng.random() < 0.8 else c for c in base])
+        lists.append(base[: rng.randint(1, len(base))])
     lists.append(list(lists[0]))
     df = spark.createDataFrame([(i, [_signed(c) for c in f]) for i, f in enumerate(lists)], "video_id long, fingerprint array<long>")
     heads = [i for i, f in enumerate(lists) if f not in lists[:i]]
@@ -146,14 +147,40 @@ def test_video_pairs_equal_all_pairs(spark, block):
     for i in heads:
         for j in heads:
             pairs = list(zip(lists[i], lists[j]))
-            mean = sum((a ^ b).bit_count() for a, b in pairs) / len(pairs)
-            if i < j and mean <= 10:
-                want[i, j] = (len(pairs), round(mean, 6))
-    found = md.video_pairs(df, 10, block).collect()
+            total = sum((a ^ b).bit_count() for a, b in pairs)
+            if i < j and total <= threshold * len(pairs):
+                want[i, j] = (len(pairs), round(total / len(pairs), 6))
+    found = md.video_pairs(df, threshold, block, wider).collect()
     assert {(r.video_a, r.video_b): (r.frames, r.mean_distance) for r in found} == want
     assert len(found) == len(want) > 0
 
 
+def test_shared_frames_are_no_probe(spark):
+    """All clips open black and two thirds close black: of ten frames, only the other eight are looked up."""
+    rng = random.Random(3)
+    clips = [[0] + [_signed(rng.getrandbits(64)) for _ in range(8)] + [0 if i % 3 else _signed(rng.getrandbits(64))] for i in range(60)]
+    clips += [[c ^ 3 for c in clips[0]], [0, 5], [0]]
+    groups = spark.createDataFrame([(i, c, 1) for i, c in enumerate(clips)], "video long, fingerprint array<long>, copies long")
+    codes = md._places(groups).select("bits").distinct()
+    near = md._near_codes(codes, 12, 20_000)
+    plans = md.lookup_plans(groups, near, 10, 12).collect()
+    for r in plans:
+        if r.n == 10 and r.video < 60:
+            assert {f.pos for f in r.plan} <= set(range(1, 10)) and sum(f.radius + 1 for f in r.plan) == 101
+            assert r.video % 3 == 0 or 9 not in {f.pos for f in r.plan}
+            assert r.list == clips[r.video]
+    assert {(r.video, r.n) for r in plans} == {(i, n) for i, c in enumerate(clips) for n in (1, 2, 10) if n <= len(c)}
+    found = md.video_pairs(groups.select(F.col("video").alias("video_id"), "fingerprint")).collect()
+    assert (0, 60) in {(r.video_a, r.video_b) for r in found}
+
+
+def test_tables_without_a_picture_or_video(spark):
+    assert md.hamming_pairs(spark.createDataFrame([], "id long, bits long")).collect() == []
+    empty = spark.createDataFrame([(1, [])], "video_id long, fingerprint array<long>")
+    assert md.video_pairs(empty).collect() == []
+    assert md.video_pairs(empty.limit(0)).collect() == []
+
+
 def test_image_fingerprints(spark, tmp_path):
     one = picture(1)
     write_bmp(tmp_path / "one.bmp", one)

@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from twinfold.fixed_values import IMAGE_HASH_THRESHOLD, SAMPLED_FRAMES
 from twinfold.functions.bits import field, hamming
-from twinfold.operators.skew import BLOCK_ROWS, block_join, largest_of
+from twinfold.operators.skew import BLOCK_ROWS, block_join, largest_of, lookup_join
 from twinfold.session import stage
 
 _BITS = 64
 _MAX_MASKS = 300_000
+WIDER = 2  # bits above the threshold that the radius of a video's frame may have
 
 
 class Field(NamedTuple):
@@ -164,49 +165,117 @@ def video_fingerprints(frames: DataFrame, n_frames: int = SAMPLED_FRAMES) -> Dat
     return wanted.join(readable, ["video_id", "frame_no"]).groupBy("video_id").agg(ordered["bits"].alias("fingerprint"))
 
 
-def _frame_distances(fp_a: Column, fp_b: Column) -> Column:
-    """Distances place by place, up to the shorter list."""
-    n = F.least(F.size(fp_a), F.size(fp_b))
-    return F.zip_with(F.slice(fp_a, 1, n), F.slice(fp_b, 1, n), lambda x, y: hamming(x, y).cast("bigint"))
+def _places(groups: DataFrame) -> DataFrame:
+    """The frames of each group's list, with their places and the length of the list."""
+    return groups.select("*", F.size("fingerprint").alias("length"), F.posexplode("fingerprint").alias("pos", "bits"))
+
+
+def _near_codes(codes: DataFrame, widest: int, block_rows: int) -> DataFrame:
+    """(bits_a, bits_b, distance) in both directions, each code beside itself too."""
+    pairs = code_pairs(codes, widest, block_rows).select("bits_a", "bits_b", "distance")
+    itself = codes.select("bits", "bits", F.lit(0))
+    return pairs.union(pairs.select("bits_b", "bits_a", "distance")).union(itself).toDF("bits_a", "bits_b", "distance")
+
+
+def lookup_plans(groups: DataFrame, near: DataFrame, threshold: int, widest: int) -> DataFrame:
+    """(video, copies, length, n, list, plan): the places under which a video looks for others, and their radii.
+
+    One row per video and ``n``, the frames it shares with its partners: those have exactly ``n``, the video at least as
+    many. If the radii of some places, each plus one, add up to more than threshold * n, one of these places is within its radius in every
+    pair wanted; so a frame that nearly all videos have can be left out if the others look a little farther. Of the choices with
+    radii up to ``widest`` a video takes the one that meets the fewest videos: its rarest frames.
+    """
+    places = _places(groups)
+    lengths = groups.agg(F.sort_array(F.collect_set(F.size("fingerprint")))).first()[0]  # no more than the longest list has frames
+    shared = F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.col("length"))).alias("n")
+    mine = places.select("video", "copies", "length", "pos", "bits", shared).where("pos < n")
+    mine = stage(mine.withColumn("place", F.struct("n", "pos", "bits")), "video-places")
+
+    radii = range(threshold - 1, widest + 1)
+    held = places.groupBy("length", "pos", "bits").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("bits", "bits_b")
+    within = lambda r: F.sum(F.when(F.col("distance") <= r, F.col("held")).otherwise(0))
+    met = near.join(held, "bits_b").groupBy("bits_a", "length", "pos").agg(F.array(*[within(r) for r in radii]).alias("met"))
+    met = met.select(F.struct(F.col("length").alias("n"), "pos", F.col("bits_a").alias("bits")).alias("place"), "met")
+    probing = mine.groupBy("place").agg(F.count(F.lit(1)).alias("probing"))
+    costs = stage(probing.join(met, "place", "left"), "place-costs")  # a place no video of that length is near to meets none
+    nobody = F.array(*[F.lit(0).cast("bigint") for _ in radii])
+    costs = costs.withColumn("met", F.coalesce("met", nobody))
+    known = lookup_join(mine, costs, "place", "probing", "video", largest_of(costs, "probing"))
+
+    frame = F.struct(F.element_at("met", -1).alias("most"), "pos", "bits", "met")
+    lists = known.groupBy("video", "n").agg(
+        F.any_value("copies").alias("copies"), F.any_value("length").alias("length"), F.array_sort(F.collect_list(frame)).alias("frames")
+    )
+    need = F.lit(threshold) * F.col("n") + 1
+
+    def radius(used: Column, i: Column) -> Column:
+        each = F.floor(need / used)
+        return (each - 1 + (i < need - each * used).cast("int")).cast("int")
+
+    def choice(used: Column) -> Column:
+        at = lambda f, i: F.element_at(f["met"], radius(used, i) - threshold + 2)
+        total = F.aggregate(F.transform(F.slice("frames", 1, used), at), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return F.struct(total.alias("met"), used.alias("used"))
+
+    fewest = F.ceil(need / (widest + 1)).cast("int")
+    best = F.array_min(F.transform(F.sequence(fewest, F.col("n")), choice))["used"]
+    chosen = lists.withColumn("used", best)
+    plan = F.transform(
+        F.slice("frames", 1, F.col("used")),
+        lambda f, i: F.struct(f["pos"].alias("pos"), f["bits"].alias("bits"), radius(F.col("used"), i).alias("radius")),
+    )
+    in_order = F.transform(F.array_sort(F.transform("frames", lambda f: F.struct(f["pos"], f["bits"]))), lambda f: f["bits"])
+    return chosen.select(
+        "video", "copies", "length", "n", in_order.alias("list"), F.filter(plan, lambda f: f["radius"] >= 0).alias("plan")
+    )
 
 
 def video_pairs(
-    fingerprints: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS
+    fingerprints: DataFrame, threshold: int = IMAGE_HASH_THRESHOLD, block_rows: int = BLOCK_ROWS, wider: int = WIDER
 ) -> DataFrame:
     """(video_a, video_b, frames, mean_distance, copies_a, copies_b): videos whose frames differ by at most
-    ``threshold`` bits on average.
+    ``threshold`` bits on average, up to the end of the shorter list.
 
-    If the mean is at most the threshold, so is the distance at one place at least: only videos with similar
-    codes at one place are compared. The short fingerprint lists travel along, so the join itself decides, at
-    the first similar place, and passes on nothing but results. Videos with one and the same list are one group,
-    named by its lowest id.
+    Videos are looked up under their rarest frames (``lookup_plans``), with radii up to ``wider`` bits above the threshold: of ten frames,
+    two that all videos share are no probe. The short fingerprint lists travel along, so the join itself decides, at
+    the first place of the plan that is within its radius, and passes on nothing but results. Videos with one and the same list are one
+    group, named by its lowest id.
     """
     groups = stage(
         fingerprints.where(F.size("fingerprint") > 0).groupBy("fingerprint")
         .agg(F.min("video_id").alias("video"), F.count(F.lit(1)).alias("copies")),
         "video-groups",
     )
-    places = groups.select("*", F.posexplode("fingerprint").alias("pos", "bits"))
-
-    def side(s: str) -> DataFrame:
-        names = {"video": f"video_{s}", "copies": f"copies_{s}", "fingerprint": f"fp_{s}", "bits": f"bits_{s}"}
-        return places.select("pos", *[F.col(c).alias(n) for c, n in names.items()])
-
-    codes = stage(places.groupBy("bits").agg(F.count(F.lit(1)).alias("held")), "video-codes")
-    pairs = code_pairs(codes.select("bits"), threshold, block_rows).select("bits_a", "bits_b")
-    near = pairs.union(pairs.select("bits_b", "bits_a")).union(codes.select("bits", "bits")).toDF("bits_a", "bits_b")
-    near = stage(near, "near-codes")
-    held = largest_of(codes, "held")
-    around = largest_of(near.groupBy("bits_a").agg(F.count(F.lit(1)).alias("n")), "n")
-    probes = block_join(
-        side("a"), near, ["bits_a"], "video_a", "bits_b", F.lit(True), block_rows, max(held, around)
+    widest = threshold + wider
+    codes = stage(_places(groups).select("bits").distinct(), "video-codes")
+    near = stage(_near_codes(codes, widest, block_rows), "near-codes")
+    plans = stage(lookup_plans(groups, near, threshold, widest), "video-plans")
+    probes = plans.select(
+        F.col("video").alias("video_p"), F.col("copies").alias("copies_p"), "length", "n", "list", "plan", F.inline("plan")
+    ).withColumnRenamed("bits", "bits_a")
+    probing = largest_of(probes.groupBy("bits_a").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    around = largest_of(near.groupBy("bits_a").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    wide = block_join(
+        probes, near, ["bits_a"], "video_p", "bits_b", F.col("distance") <= F.col("radius"), block_rows, max(probing, around)
+    )
+    wide = stage(wide.drop("bits_a", "radius", "distance"), "video-probes")
+    found = _places(groups).select(
+        F.col("length").alias("n"), "pos", F.col("bits").alias("bits_b"),
+        F.col("video").alias("video_q"), F.col("copies").alias("copies_q"), F.col("fingerprint").alias("other"),
     )
-    distances = _frame_distances(F.col("fp_a"), F.col("fp_b"))
-    mean = F.aggregate(distances, F.lit(0).cast("bigint"), lambda acc, x: acc + x) / F.size(distances)
-    first_near = F.array_position(F.transform(distances, lambda x: x <= threshold), True) - 1
-    wanted = (F.col("video_a") < F.col("video_b")) & (first_near == F.col("pos")) & (mean <= threshold)
-    met = block_join(probes, side("b"), ["pos", "bits_b"], "video_a", "video_b", wanted, block_rows, held * around)
+    keys = ["n", "pos", "bits_b"]
+    rows = [largest_of(side.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "rows") for side in (wide, found)]
+    distances = F.zip_with("list", "other", lambda x, y: hamming(x, y).cast("bigint"))
+    total = F.aggregate(distances, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    is_near = F.transform("plan", lambda f: F.element_at(distances, f["pos"] + 1) <= f["radius"])
+    first = F.get(F.col("plan"), (F.array_position(is_near, True) - 1).cast("int"))["pos"]
+    once = (F.col("n") < F.col("length")) | (F.col("video_p") < F.col("video_q"))  # videos of one length look for each other
+    wanted = once & (total <= F.lit(threshold) * F.col("n")) & (first == F.col("pos"))
+    met = block_join(wide, found, keys, "video_p", "video_q", wanted, block_rows, max(rows))
+    p_first = F.col("video_p") < F.col("video_q")
+    low = lambda c: F.when(p_first, F.col(f"{c}_p")).otherwise(F.col(f"{c}_q"))
+    high = lambda c: F.when(p_first, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p"))
     return met.select(
-        "video_a", "video_b", F.size(distances).cast("bigint").alias("frames"),
-        F.round(mean, 6).alias("mean_distance"), "copies_a", "copies_b",
+        low("video").alias("video_a"), high("video").alias("video_b"), F.col("n").cast("bigint").alias("frames"),
+        F.round(total / F.col("n"), 6).alias("mean_distance"), low("copies").alias("copies_a"), high("copies").alias("copies_b"),
     )

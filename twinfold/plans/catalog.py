@@ -170,6 +170,7 @@ def queries() -> dict[str, Query]:
             "video_id", F.array_join(F.transform("fingerprint", to_hex), "|").alias("fingerprint")
         ),
         "video_pairs": lambda s, d: md.video_pairs(v.fingerprints(s, d)),
+        "video_pairs_opened": lambda s, d: md.video_pairs(v.opened(s, d)),
         # searches
         "list_all": _registry(rg.list_all),
         "search_keyword": _registry(lambda r: rg.search_keyword(r, KEYWORD)),

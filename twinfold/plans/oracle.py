@@ -386,6 +386,21 @@ FROM grouped LEFT JOIN counted USING (id) LEFT JOIN best USING (id)""",
     )
 
 
+def _video_pairs(code: str) -> str:
+    return _sql(
+        f"""SELECT x.video AS video_a, y.video AS video_b, count(*) AS frames,
+                   round(avg(bit_count(xor(x.bits, y.bits))), 6) AS mean_distance,
+                   any_value(x.copies) AS copies_a, any_value(y.copies) AS copies_b
+            FROM heads x JOIN heads y ON x.i = y.i AND x.video < y.video GROUP BY x.video, y.video
+            HAVING avg(bit_count(xor(x.bits, y.bits))) <= {IMAGE_HASH_THRESHOLD}""", "sampled").replace(
+        "\nSELECT x.video",
+        f""",
+listed AS (SELECT video_id, list({code} ORDER BY i) AS fp FROM sampled GROUP BY video_id),
+heads AS (SELECT video, copies, unnest(fp) AS bits, generate_subscripts(fp, 1) AS i
+          FROM (SELECT fp, min(video_id) AS video, count(*) AS copies FROM listed GROUP BY fp))
+SELECT x.video""", 1)
+
+
 def oracle_sql() -> dict[str, str]:
     first_half = "(SELECT * FROM obs, cut WHERE download_time < cut)"
     known = f"SELECT * FROM {first_half} QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY download_time, id) = 1"
@@ -472,18 +487,8 @@ def oracle_sql() -> dict[str, str]:
         "video_fingerprints": _sql(
             """SELECT video_id, string_agg(printf('%016x', CASE WHEN bits < 0 THEN bits::HUGEINT + 18446744073709551616::HUGEINT
                       ELSE bits::HUGEINT END), '|' ORDER BY i) AS fingerprint FROM sampled GROUP BY video_id""", "sampled"),
-        "video_pairs": _sql(
-            f"""SELECT x.video AS video_a, y.video AS video_b, count(*) AS frames,
-                       round(avg(bit_count(xor(x.bits, y.bits))), 6) AS mean_distance,
-                       any_value(x.copies) AS copies_a, any_value(y.copies) AS copies_b
-                FROM heads x JOIN heads y ON x.i = y.i AND x.video < y.video GROUP BY x.video, y.video
-                HAVING avg(bit_count(xor(x.bits, y.bits))) <= {IMAGE_HASH_THRESHOLD}""", "sampled").replace(
-            "\nSELECT x.video",
-            """,
-listed AS (SELECT video_id, list(bits ORDER BY i) AS fp FROM sampled GROUP BY video_id),
-heads AS (SELECT video, copies, unnest(fp) AS bits, generate_subscripts(fp, 1) AS i
-          FROM (SELECT fp, min(video_id) AS video, count(*) AS copies FROM listed GROUP BY fp))
-SELECT x.video""", 1),
+        "video_pairs": _video_pairs("bits"),
+        "video_pairs_opened": _video_pairs("CASE WHEN i = 0 THEN 0::BIGINT ELSE bits END"),
         "list_all": _downloads(_LIST),
         "search_keyword": _downloads(_FOUND, f"{_like('file_name', c.KEYWORD)} OR {_like('extracted_text', c.KEYWORD)}"),
         "search_type": _downloads(_LIST, _like("file_type", c.TYPE)),
