@@ -17,6 +17,7 @@ from twinfold.operators import registry as rg
 from twinfold.operators import text_similarity as ts
 from twinfold.operators import utterances as ut
 from twinfold.plans import streams as st
+from twinfold.plans import tables as tb
 from twinfold.plans import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +133,7 @@ def queries() -> dict[str, Query]:
             "id", F.length("extracted_text").cast("bigint").alias("chars"), F.md5("extracted_text").alias("digest")
         ),
         "registry_insert": _registry_insert,
+        "registry_bucketed": tb.registry_bucketed,
         "alert_status_current": _alerts(lambda a: a.select("id", "status")),
         # scalars
         "hash_sha256": _obs(lambda: {"sha256": h.content_sha256(F.col("content"))}),
@@ -141,6 +143,7 @@ def queries() -> dict[str, Query]:
         "media_class": _obs(lambda: {"media": h.media_class(F.col("file_type")), "is_text": h.is_text(F.col("file_type"))}),
         # exact duplicates
         "find_by_hash": _find_by_hash,
+        "find_by_hash_bucketed": tb.find_by_hash_bucketed,
         "exact_dup_alerts": _sightings(ex.exact_dup_alerts),
         "exact_dup_alerts_registry": _exact_against_registry,
         "cross_user_pairs": _sightings(ex.cross_user_members),
@@ -190,6 +193,7 @@ def queries() -> dict[str, Query]:
         "alerts_pending": _alerts(lambda a: al.alerts_pending(a, ALERT_USER)),
         "max_alert_id": _alerts(al.max_alert_id),
         "alerts_since": _alerts(lambda a: al.alerts_since(a, ALERT_USER, LAST_SEEN)),
+        "alerts_by_day": lambda s, d: tb.alerts_by_day(s, d, START, END),
         "stats": _stats,
         "alert_messages": _alerts(al.alert_messages),
         # questions
@@ -208,6 +212,7 @@ def queries() -> dict[str, Query]:
         "monitor_registry": st.monitor_registry,
         "stream_exact_alerts": st.stream_exact_alerts,
         "folder_files": st.folder_files,
+        "folder_terms": st.folder_terms,
         "folder_registry": st.folder_registry,
         "alert_feed": lambda s, d: st.alert_feed_delivered(s, d, ALERT_USER),
         "stats_feed": st.stats_delivered,

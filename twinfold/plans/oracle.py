@@ -417,6 +417,7 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT id, file_hash, file_name, file_hash NOT IN (SELECT file_hash FROM ({known}))
                   AND row_number() OVER (PARTITION BY file_hash ORDER BY download_time, id) = 1 AS accepted
                 FROM ({fresh})""", "cut"),
+        "registry_bucketed": _downloads("id, file_name, file_hash, file_size, downloaded_by, md5(extracted_text) AS text_digest"),
         "alert_status_current": _sql("SELECT id, status FROM alerts", "alerts"),
         "hash_sha256": "SELECT doc_id AS id, sha256(text) AS sha256 FROM documents",
         "hash_md5": "SELECT doc_id AS id, md5(text) AS md5 FROM documents",
@@ -429,6 +430,8 @@ def oracle_sql() -> dict[str, str]:
                   file_type IN ({_list(TEXT_EXTENSIONS)}) AS is_text FROM obs""", "obs"),
         "find_by_hash": _downloads(
             "id, file_name, file_hash, file_path, downloaded_by", "file_hash = (SELECT min(file_hash) FROM obs)"),
+        "find_by_hash_bucketed": _downloads(
+            "id, file_name, file_hash, file_path, downloaded_by", "file_hash = (SELECT min(file_hash) FROM obs)"),
         "exact_dup_alerts": _exact_alerts("SELECT * FROM obs", _FIRST, "obs"),
         "exact_dup_alerts_registry": _exact_alerts(fresh, originals, "cut"),
         "cross_user_pairs": _cross_user("true"),
@@ -468,6 +471,11 @@ def oracle_sql() -> dict[str, str]:
                                 THEN {_clean(_newlines('content'))} END) AS text_digest, 'watcher' AS downloaded_by FROM obs
                 UNION ALL SELECT unnest([{_list(EMPTY_FILES)}]), sha256(''), 0, unnest([{_list(n.rsplit(".", 1)[1] for n in EMPTY_FILES)}]), NULL, 'watcher'""",
             "obs"),
+        "folder_terms": _sql(
+            f"""SELECT file_name, term, count(*) AS tf FROM (
+                  SELECT file_name, unnest(list_filter(regexp_extract_all({_clean(_newlines('content'))}, '[{WORD_CHARS}]{{2,}}'),
+                                                       lambda w: w NOT IN ({_list(ENGLISH_STOP_WORDS)}))) AS term
+                  FROM obs WHERE file_type IN ({_list(TEXT_EXTENSIONS)})) GROUP BY ALL""", "obs"),
         "folder_registry": f"""SELECT file_hash, any_value(file_size) AS file_size, count(*) AS files FROM (
               SELECT sha256(text) AS file_hash, strlen(text) AS file_size FROM documents
               UNION ALL SELECT sha256(''), 0 FROM range({len(EMPTY_FILES)})) GROUP BY file_hash""",
@@ -541,6 +549,9 @@ def oracle_sql() -> dict[str, str]:
                             FROM obs, (SELECT min(id) AS first, max(id) AS last FROM obs))) p ON p.id = b""",
             "arrival_cosine", "downloads"),
         "monitor_registry": _downloads("file_name, file_hash, file_type, file_size, downloaded_by, md5(extracted_text) AS text_digest"),
+        "alerts_by_day": _sql(
+            f"""SELECT id, alert_for, duplicate_type, similarity, new_file_name, created_time FROM alert_log
+                WHERE created_time >= TIMESTAMP '{c.START}' AND created_time < TIMESTAMP '{c.END}'""", "alert_log"),
         "alert_feed": _sql(f"SELECT * FROM alerts WHERE alert_for = '{c.ALERT_USER}' AND status = 'pending'", "alerts"),
         "stats_feed": _sql(
             """SELECT (SELECT count(*) FROM downloads) AS total_files, count(*) AS total_alerts,

@@ -69,8 +69,12 @@ _registries: dict[tuple[str, str], DataFrame] = {}
 
 def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Take in all observations: the first one of each digest, with its extracted text."""
-    described = describe_text(first_sightings(observations(spark, sf_dir)))
-    return described.withColumns({
+    return registered(first_sightings(observations(spark, sf_dir)))
+
+
+def registered(obs: DataFrame) -> DataFrame:
+    """Observations with the columns of the registry."""
+    return describe_text(obs).withColumns({
         "image_phash": F.lit(None).cast("bigint"), "video_fingerprint": F.lit(None).cast("array<bigint>")
     })
 
