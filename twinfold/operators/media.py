@@ -24,6 +24,8 @@ from twinfold.session import stage
 
 _BITS = 64
 _MAX_MASKS = 300_000
+_LISTED = 8  # a listed neighbour is moved and sorted; that costs about as much as so many pairs met
+_TASK_ROWS = 2_000_000  # neighbours that a task lists
 WIDER = 2  # bits above the threshold that the radius of a video's frame may have
 
 
@@ -77,7 +79,7 @@ def best_cut(threshold: int, n_codes: int) -> list[Field]:
 
     def work(parts: list[Field]) -> float:
         counts = [p.mask_counts() for p in parts]
-        listed = sum(map(sum, counts))
+        listed = _LISTED * sum(map(sum, counts))
         met = sum(one * other / 2**p.width for p, (one, other) in zip(parts, counts)) * n_codes
         return (listed + met) if max(map(max, counts)) <= _MAX_MASKS else float("inf")
 
@@ -104,8 +106,11 @@ def code_pairs(
     """
     n_codes = codes.count()
     parts = cut(threshold, fields) if fields else best_cut(threshold, n_codes)
-    a = codes.select(F.col("bits").alias("bits_a"), F.inline(_neighbours(F.col("bits"), parts, 0)))
-    b = codes.select(F.col("bits").alias("bits_b"), F.inline(_neighbours(F.col("bits"), parts, 1)))
+    listed = n_codes * sum(p.mask_counts()[0] for p in parts)
+    tasks = max(codes.sparkSession.sparkContext.defaultParallelism, -(-listed // _TASK_ROWS))
+    spread = codes.select("bits").repartition(tasks, "bits")  # a small table becomes many rows
+    a = spread.select(F.col("bits").alias("bits_a"), F.inline(_neighbours(F.col("bits"), parts, 0)))
+    b = spread.select(F.col("bits").alias("bits_b"), F.inline(_neighbours(F.col("bits"), parts, 1)))
     code_a, code_b = F.col("bits_a"), F.col("bits_b")
     xor = code_a.bitwiseXOR(code_b)
     met_before, first = F.lit(False), F.lit(False)
