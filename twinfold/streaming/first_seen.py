@@ -2,19 +2,32 @@
 
 The state of a digest is the file that came first with it. It lives in RocksDB under the query's checkpoint, partitioned by digest, so the cost of
 a batch goes with the batch; a restart finds it as it was.
+
+Digests and alerts are dealt into ``BUCKETS``, and a processor takes a bucket at a time with a map from key to state: a batch calls a processor at
+most so many times, works on frames of many keys, and reads and writes only the entries of its own keys.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Groups that keys are dealt into. State is kept under them, so the number holds for the life of a checkpoint.
+BUCKETS = 1024
+
+#: An entry of the state is a page of 2 ** PAGE_BITS alerts with neighbouring ids, which mostly come together.
+PAGE_BITS = 6
+
+#: Stands for a missing number in a frame, whose columns hold no null beside whole numbers; it sorts last.
+NONE = (1 << 63) - 1
+
 _FILE = "id bigint, file_name string, file_path string, downloaded_by string, at bigint"
 _NAMES = [part.split()[0] for part in _FILE.split(", ")]
 
@@ -29,21 +42,38 @@ def _plain(value):
     return None if value is None or value != value else value.item() if hasattr(value, "item") else value
 
 
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _number(value: Column) -> Column:
+    return F.coalesce(value.cast("bigint"), F.lit(NONE))
+
+
+def _or_null(name: str) -> Column:
+    return F.when(F.col(name) != NONE, F.col(name))
+
+
 class _FirstSeen(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._first = handle.getValueState("first", _FILE)
+        self._first = handle.getMapState("first", "digest string", _FILE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        """The batch's files with one digest, in order of arrival; a batch bounds their number."""
-        files = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
-        known = self._first.exists()
-        if not known:
-            self._first.update(tuple(_plain(files.iloc[0][c]) for c in _NAMES))
-        first = self._first.get()
-        for name, value in zip(_NAMES, first):
-            files[f"first_{name}"] = [value] * len(files)
-        files["accepted"] = [not known and i == 0 for i in range(len(files))]
-        yield files
+        """The batch's files of one bucket of digests, in order of arrival; a batch bounds their number."""
+        files = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable", ignore_index=True)
+        leads = ~files.duplicated("digest")
+        first, new = {}, set()
+        for digest, *values in files.loc[leads, ["digest", *_NAMES]].itertuples(index=False, name=None):
+            known = self._first.getValue((digest,))
+            if known is None:
+                known = tuple(_plain(v) for v in values)
+                self._first.updateValue((digest,), known)
+                new.add(digest)
+            first[digest] = known
+        for i, name in enumerate(_NAMES):
+            files[f"first_{name}"] = [first[d][i] for d in files["digest"]]
+        files["accepted"] = leads & files["digest"].isin(new)
+        yield files.drop(columns="bucket", errors="ignore")
 
     def close(self) -> None:
         pass
@@ -56,33 +86,53 @@ def with_first(files: DataFrame) -> DataFrame:
     across batches the earlier batch. Only narrow rows move, by digest.
     """
     use_state_store(files.sparkSession)
-    at = F.unix_micros(F.col("download_time").cast("timestamp")).alias("at")
-    narrow = files.select("file_hash", "id", "file_name", "file_path", "downloaded_by", at)
+    at = _number(F.unix_micros(F.col("download_time").cast("timestamp"))).alias("at")
+    digest = F.coalesce("file_hash", F.lit(""))  # no digest is empty
+    narrow = files.select(digest.alias("digest"), _number(F.col("id")).alias("id"), "file_name", "file_path", "downloaded_by", at)
     kinds = dict(part.split() for part in _FILE.split(", "))
-    schema = ", ".join(["file_hash string", _FILE, *[f"first_{c} {kind}" for c, kind in kinds.items()], "accepted boolean"])
-    found = narrow.groupBy("file_hash").transformWithStateInPandas(_FirstSeen(), schema, "Append", "None")
-    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias("download_time")
-    first = [F.col(f"first_{c}").alias(c) for c in _NAMES if c != "at"]
-    return found.select("file_hash", *_NAMES[:-1], time("at"), F.struct(*first, time("first_at")).alias("original"), "accepted")
+    schema = ", ".join(["digest string", _FILE, *[f"first_{c} {kind}" for c, kind in kinds.items()], "accepted boolean"])
+    found = narrow.withColumn("bucket", _bucket(F.col("digest"))).groupBy("bucket").transformWithStateInPandas(_FirstSeen(), schema, "Append", "None")
+    time = lambda c: F.timestamp_micros(_or_null(c)).cast("timestamp_ntz").alias("download_time")
+    own = lambda c: (_or_null(c) if c.endswith("id") else F.col(c))
+    first = [own(f"first_{c}").alias(c) for c in _NAMES if c != "at"]
+    return found.select(
+        F.nullif("digest", F.lit("")).alias("file_hash"), *[own(c).alias(c) for c in _NAMES[:-1]], time("at"),
+        F.struct(*first, time("first_at")).alias("original"), "accepted",
+    )
 
 
 class _AlertTally(StatefulProcessor):
-    """What an alert and its status changes add to the counts, as it becomes known."""
+    """What the alerts of a bucket and their status changes add to the counts, as they become known."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("alert", "seen boolean, at bigint, seq bigint, status string")
+        self._pages = handle.getMapState("page", "page string", "alerts string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, at, seq, status = self._state.get() if self._state.exists() else (False, None, None, None)
-        alerts, pending = self._counts(seen, status)
+        alerts = pending = 0
         for frame in rows:
-            seen = bool(seen or frame["is_alert"].any())
-            for when, number, to in frame.loc[~frame["is_alert"], ["at", "seq", "status"]].itertuples(index=False):
-                if at is None or (when, number, to) > (at, seq, status):  # the latest change counts, whenever it comes
-                    at, seq, status = int(when), int(number), to
-        self._state.update((seen, at, seq, status))
-        now_alerts, now_pending = self._counts(seen, status)
-        yield pd.DataFrame({"alerts": [now_alerts - alerts], "pending": [now_pending - pending]})
+            for page, mine in frame.groupby("page", sort=False):
+                known = self._pages.getValue((page,))
+                states = json.loads(known[0]) if known else {}
+                change = self._change(states, mine)
+                alerts, pending = alerts + change[0], pending + change[1]
+                self._pages.updateValue((page,), (json.dumps(states),))
+        yield pd.DataFrame({"alerts": [alerts], "pending": [pending]})
+
+    def _change(self, states: dict[str, list], rows: pd.DataFrame) -> tuple[int, int]:
+        """Bring the ``states`` (seen, at, seq, status) of a page's alerts up to date; what that adds to the counts."""
+        alerts = pending = 0
+        for alert, is_alert, *change in rows[["alert", "is_alert", "at", "seq", "status"]].itertuples(index=False, name=None):
+            seen, *last = states.get(alert, (False, None, None, None))
+            before = self._counts(seen, last[2])
+            change = [_plain(v) for v in change]
+            if is_alert:
+                seen = True
+            elif last[0] is None or change > last:  # the latest change counts, whenever it comes
+                last = change
+            states[alert] = [seen, *last]
+            now = self._counts(seen, last[2])
+            alerts, pending = alerts + now[0] - before[0], pending + now[1] - before[1]
+        return alerts, pending
 
     @staticmethod
     def _counts(seen: bool, status: str | None) -> tuple[int, int]:
@@ -99,8 +149,12 @@ def alert_tally(alerts: DataFrame, changes: DataFrame) -> DataFrame:
     rows that come twice change nothing.
     """
     use_state_store(alerts.sparkSession)
-    none = lambda kind: F.lit(None).cast(kind)
-    new = alerts.select(F.col("id").alias("alert_id"), F.lit(True).alias("is_alert"), none("bigint").alias("at"), none("bigint").alias("seq"), none("string").alias("status"))
+    # a frame's columns of whole numbers hold no null: alerts have 0 there, which nothing reads
+    zero = lambda name: F.lit(0).cast("bigint").alias(name)
+    new = alerts.select(F.col("id").alias("alert_id"), F.lit(True).alias("is_alert"), zero("at"), zero("seq"), F.lit(None).cast("string").alias("status"))
     at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
     changed = changes.select("alert_id", F.lit(False).alias("is_alert"), at, "seq", "status")
-    return new.unionByName(changed).groupBy("alert_id").transformWithStateInPandas(_AlertTally(), "alerts bigint, pending bigint", "Append", "None")
+    text = lambda value: F.coalesce(value.cast("string"), F.lit(""))
+    rows = new.unionByName(changed).withColumns({"alert": text(F.col("alert_id")), "page": text(F.shiftright("alert_id", PAGE_BITS))}).drop("alert_id")
+    counted = rows.withColumn("bucket", _bucket(F.col("page"))).groupBy("bucket").transformWithStateInPandas(_AlertTally(), "alerts bigint, pending bigint", "Append", "None")
+    return counted.select("alerts", "pending")
