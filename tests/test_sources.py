@@ -42,6 +42,31 @@ def test_read_table_spreads_a_single_split(spark, tmp_path):
     assert read_table(spark, path, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_read_table_spreads_a_single_row_group(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(2000).selectExpr("id", "sha2(string(id), 512) AS text").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # many splits of bytes, all rows in one of them
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        table = read_table(spark, path, "id")
+        held = table.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(held) == 2000 and max(held) < 1000
+        assert sorted(r.id for r in table.collect()) == list(range(2000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_corpus_cleans_texts_once(spark, sf_dir, monkeypatch):
+    from twinfold.plans import views
+
+    plans, write = [], views.stage
+    monkeypatch.setattr(views, "_corpora", {})
+    monkeypatch.setattr(views, "stage", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label))
+    assert views.corpus(spark, sf_dir).where("extracted_text IS NULL OR extracted_text = ''").count() == 0
+    assert plans[-1].count("lower(") == 1
+
+
 def test_stage_cuts_the_plan(spark):
     staged = stage(spark.range(10).selectExpr("id", "id * 2 AS twice"), "test")
     assert staged.count() == 10

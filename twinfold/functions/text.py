@@ -25,12 +25,17 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), f"[^{WORD_CHARS}{SPACE_CHARS}]", " ")
 
 
+def has_text(text: Column) -> Column:
+    """Whether ``extracted_text`` of it is a text, without cleaning it."""
+    return text.rlike(f"[^{SPACE_CHARS}]")
+
+
 def extracted_text(text: Column, max_chars: int | None = None) -> Column:
     """Cleaned text of a file, null when it is blank. The whole text counts unless a cap is asked for."""
     raw = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     if max_chars is not None:
         raw = F.substring(raw, 1, max_chars)
-    return F.when(raw.rlike(f"[^{SPACE_CHARS}]"), clean(raw))
+    return F.when(has_text(raw), clean(raw))
 
 
 def all_tokens(text: Column) -> Column:

@@ -97,7 +97,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = first_sightings(observations(spark, sf_dir)).select(
             "id", "download_time", extracted_text(F.col("content")).alias("extracted_text")
         )
-        _corpora[key] = stage(corpus_scan(texts), "corpus")
+        _corpora[key] = corpus_scan(stage(texts, "corpus"))  # a filter on the text, if it moved down to the scan, would clean it there again
     return _corpora[key]
 
 

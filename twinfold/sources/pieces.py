@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinfold.functions.hashing import extension, is_text
-from twinfold.functions.text import decode_utf8, extracted_text
+from twinfold.functions.text import decode_utf8, extracted_text, has_text
 from twinfold.sources.folder import file_system
 
 PIECE_BYTES = 8 << 20
@@ -82,5 +82,6 @@ def text_pieces(files: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     ``text_similarity.term_frequency`` takes them as it takes whole texts, and merges the counts of a file.
     """
     textual = files.where(is_text(extension(F.col("path"))))
-    text = extracted_text(decode_utf8(F.col("content")))
-    return file_pieces(textual, piece_bytes).select(F.col("path").alias("id"), "piece", text.alias("extracted_text")).where("extracted_text IS NOT NULL")
+    decoded = decode_utf8(F.col("content"))
+    filled = file_pieces(textual, piece_bytes).where(has_text(decoded))
+    return filled.select(F.col("path").alias("id"), "piece", extracted_text(decoded).alias("extracted_text"))
