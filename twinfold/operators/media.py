@@ -123,7 +123,7 @@ def code_pairs(
     plain = F.array(*[F.struct(F.lit(i).alias("field"), p.of(F.col("bits")).alias("value")) for i, p in enumerate(parts)])
     held = largest_of(codes.select(F.inline(plain)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), "n")
     largest = min(n_codes, held * max(max(p.mask_counts()) for p in parts))
-    met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows, largest)
+    met = block_join(a, b, ["field", "value"], "bits_a", "bits_b", wanted, block_rows, largest, grown=True)
     return met.select("bits_a", "bits_b", hamming(F.col("bits_a"), F.col("bits_b")).alias("distance"))
 
 

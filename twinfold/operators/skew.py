@@ -73,16 +73,19 @@ def block_join(
     condition: Column,
     block_rows: int = BLOCK_ROWS,
     largest: int | None = None,
+    grown: bool = False,
 ) -> DataFrame:
     """Equi-join on ``keys`` in which no task meets more than about ``block_rows`` rows of a key per side.
 
     A key with more rows is cut into blocks on each side and every left block is sent to every right
     block, so each pair of rows still meets exactly once. Columns of the two sides must differ but for
-    ``keys``. ``largest`` is an upper bound of the rows per key and side, where the caller knows one.
+    ``keys``. ``largest`` is an upper bound of the rows per key and side, where the caller knows one. ``grown`` says that
+    rows were exploded from small tables: Spark takes them to be as small as these and would send them through the driver, so both are shuffled.
     """
     keys = list(keys)
+    dealt = lambda rows: rows.hint("merge") if grown else rows
     if largest is not None and largest <= block_rows:
-        return left.join(right, keys).where(condition)
+        return dealt(left).join(dealt(right), keys).where(condition)
     large = _large_keys(left, keys, "l", block_rows).join(_large_keys(right, keys, "r", block_rows), keys, "full")
     large = large.select(*keys, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("_nl", "_bl", "_nr", "_br")])
 
@@ -94,4 +97,4 @@ def block_join(
         return found.select(*rows.columns, mine.alias(own), F.explode(F.sequence(F.lit(0), blocks(theirs) - 1)).alias(other))
 
     lhs, rhs = side(left, "l", left_id, "_i", "_j"), side(right, "r", right_id, "_j", "_i")
-    return lhs.join(rhs, [*keys, "_i", "_j"]).where(condition).drop("_i", "_j")
+    return dealt(lhs).join(dealt(rhs), [*keys, "_i", "_j"]).where(condition).drop("_i", "_j")
