@@ -164,3 +164,32 @@ def test_toxicity_learns_from_all_rows_in_shards(spark, monkeypatch):
     found = toxicity.classify(docs, labels).where("held_out").collect()
     assert made == [("learnt", len(known) - len(aside)), ("judged", len(aside))]  # more than 3000 rows of either label or both: no sample
     assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in found]) > 0.97
+
+
+def test_toxicity_passes_all_rows_as_often_whatever_their_number(spark, monkeypatch, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(i, f"w{i} {'vile' if i % 3 == 0 else 'mild'}", int(i % 3 == 0)) for i in range(60)], "doc_id long, text string, label int").write.parquet(path)
+    made, learned = [], toxicity._learned
+    monkeypatch.setattr(toxicity, "_learned", lambda shared, epochs, seed: made.append(epochs) or learned(shared, epochs, seed))
+    for total in ([40, 20], [40_000, 20_000], [4_000_000, 2_000_000]):
+        for shards in (1, 2):
+            made.clear()
+            toxicity._learn(spark.read.parquet(path), np.array(total), shards)
+            assert sum(made) == toxicity.EPOCHS
+
+
+def test_ranges_are_summed():
+    rng = np.random.default_rng(6)
+    table, sizes = rng.normal(size=(50, 4)), rng.integers(1, 9, 30)
+    flat, starts = rng.integers(0, 50, sizes.sum()), np.cumsum(sizes) - sizes
+    want = np.array([table[flat[s : s + n]].sum(axis=0) for s, n in zip(starts, sizes)])
+    assert np.allclose(toxicity._sums(table, flat, starts, sizes), want)
+    order = rng.permutation(30)
+    assert np.allclose(toxicity._sums(table, flat, starts[order], sizes[order]), want[order])
+
+
+def test_texts_scored_together_score_as_alone():
+    texts = [*_texts(2, 40), b"", None, b"one", b" ".join(_texts(3, 30)) * 40]
+    net = toxicity._first_net(np.linspace(-1, 1, toxicity.BUCKETS), np.random.default_rng(1))
+    together = toxicity.Scorer(net).logits(texts)
+    assert np.allclose(together, [toxicity.Scorer(net).logits([t])[0] for t in texts], atol=1e-5)
