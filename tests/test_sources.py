@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -157,3 +158,40 @@ def test_a_large_listing_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
     parts = folder._FolderReader(folder._Listing({"path": str(tmp_path)})).partitions()
     assert [len(p.files) for p in parts] == [10, 10, 5]
     assert len({f[0] for p in parts for f in p.files}) == 25
+
+
+def test_a_listing_leaves_no_names_in_the_plan(spark, tmp_path, monkeypatch):
+    """Partitions name files that hold the listing; a scan that is planned twice lists twice."""
+    import pickle
+
+    from twinfold.sources import folder
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    names = [f"file-with-a-long-name-{i}.txt" for i in range(25)]
+    for n in names:
+        (tmp_path / "in" / n).write_text(n)
+    (tmp_path / "in" / "deep" / "other.txt").write_text("x")
+    (tmp_path / "in" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    monkeypatch.setattr(folder, "TASK_FILES", 10)
+    reader = folder._FolderReader(folder._Listing({"path": str(tmp_path / "in"), "spool": str(tmp_path / "spool")}))
+    for _ in range(2):
+        parts = reader.partitions()
+        assert b"file-with-a-long-name" not in pickle.dumps(parts)
+        rows = [r for p in parts for r in reader.read(p)]
+        assert [len(p.files) for p in parts] == [10, 10, 5]
+        assert sorted(os.path.basename(path) for path, _, _ in rows) == sorted(names)
+        assert {length for _, _, length in rows} == {len(n) for n in names}
+    listed = files_module.scan_folder(spark, str(tmp_path / "in"))
+    assert listed.count() == 25
+    assert files_module.scan_folder(spark, str(tmp_path / "in"), recursive=True).count() == 26
+    assert list(files_module.scan_folder(spark, str(tmp_path / "in"), "*-7.txt").select("length").first()) == [len(names[7])]
+
+
+def test_local_files_are_handed_out_as_they_are_found(tmp_path, monkeypatch):
+    from twinfold.sources import folder
+
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    monkeypatch.setattr(folder.fs, "FileSelector", None)  # a list of all files
+    found = folder.list_files(str(tmp_path))
+    assert next(found)[0].startswith("file:/") and len(list(found)) == 4
